@@ -40,8 +40,44 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary=_vocabulary("word_bpe_49k.json"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.language_id import held_out, identify, sample
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, sample(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("score"), "confident")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.ann_graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_packing, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
