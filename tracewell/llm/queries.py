@@ -40,6 +40,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary=_vocabulary("word_bpe_49k.json"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.near_dedup import link
+
+    return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.llm.lm_scoring import score
 
@@ -77,7 +83,7 @@ def op9_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
