@@ -32,20 +32,20 @@ from tracewell.llm.common import crc_rest, mix64, stored
 ORDER = 4
 PAD, END = 0xFE, 0xFF  # no byte of UTF-8 text
 SYMBOLS = 255  # what can follow: all bytes but PAD, with END
-_STEP = 1 << 21  # bytes counted or scored at a time
+_STEP = 1 << 19  # bytes counted or scored at a time: arrays of 4 MB
 
 
 # ------------------------------------------------------------------------------------------------ tables
 
 
 class Table:
-    """uint64 keys to float64 values, by open addressing; lookups are vectorised."""
+    """uint64 keys to float32 values, by open addressing; lookups are vectorised."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, (2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
-        self.values = np.zeros(1 << bits, np.float64)
+        self.values = np.zeros(1 << bits, np.float32)
         at, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = self.slots[at[todo]] == np.iinfo(np.uint64).max
@@ -169,14 +169,14 @@ def count(training: DataFrame) -> DataFrame:
         for _, _, texts in _portions(batches, 0):
             keys, _ = _keys(texts)
             grams.append(np.unique(keys, return_counts=True))
-            if len(grams) >= 16:
+            if len(grams) >= 32:
                 grams[:] = [_merged(grams)]
                 if len(grams[0][0]) > 2_000_000:
                     yield gram_rows()
             for t in texts:
                 words.update(t.lower().split())
             ends += len(texts)
-            if len(words) > 1_000_000:
+            if len(words) > 400_000:
                 yield word_rows()
         if grams:
             yield gram_rows()
@@ -237,13 +237,12 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
     model = spark.sparkContext.broadcast(fit_ppm(grams, max_grams))
     least = _least_count(words, max_head)
     head_rows = words.where((F.col("n") >= least) | (F.col("word") == F.lit(b""))).collect()  # at most max_head + 1
-    head = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in head_rows})
+    head = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["n"] + 0.5) / mass) for r in head_rows})
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_score double, score double, tail array<struct<word:binary,tf:bigint>>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, known = model.value, head.value
-        logs = {w: math.log10((n + 0.5) / mass) for w, n in known.items()}
+        ppm, logs = model.value, head.value
         end = logs.get(b"", math.log10(0.5 / mass))
         pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
         for batch, first, texts in _portions(batches, 1):
@@ -253,7 +252,7 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
             n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
                 found = Counter(t.lower().split())
-                sum_, hits, tail, n = [end], int(b"" in known), [], 1
+                sum_, hits, tail, n = [end], int(b"" in logs), [], 1
                 for w, tf in found.items():
                     n += tf
                     x = logs.get(w)
