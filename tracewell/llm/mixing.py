@@ -90,11 +90,12 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """Per row: id, size, source_size, target, taken (0, 1 or 2 times the size)."""
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """Per row: rid (its place), doc_id, source, size, source_size, target, times (how often the mix takes it)."""
     body = text_or_empty(text)
     key = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), body).cast("binary")), 1, HEX)
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(body).alias("size"), key.alias("hash")), "mix-rows")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(body).alias("size"), key.alias("hash"))
+    rows = stored(rows, "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources, weights, share, limit).select("source", "source_size", "target")
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
@@ -104,5 +105,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
     # one row a source on the right; a hot source is split by the adaptive join or, under the size limit, broadcast
     out = rows.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
     extra = F.when(F.col("copies") >= limit, 0).when(F.col("below").isNull() | (F.col("hash") < F.col("below")), 1).otherwise(0)
-    taken = F.when(F.col("size") > 0, F.col("size") * (F.col("copies") + extra)).otherwise(F.lit(0))
-    return out.select("doc_id", F.col("source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    times = F.when(F.col("size") > 0, F.col("copies") + extra).otherwise(F.lit(0)).cast("int")
+    return out.select("rid", "doc_id", "source", "size", "source_size", "target", times.alias("times"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """Per row: doc_id, source, size, source_size, target, taken (0, 1 or 2 times the size). Options are those of plan()."""
+    return plan(docs, **options).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def taken_rows(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """Each row of docs as often as the mix takes it."""
+    often = plan(docs, **options).where(F.col("times") > 0).select("rid", "times")
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid"))
+    again = numbered.join(often, "rid").select("doc", F.explode(F.sequence(F.lit(1), "times")))
+    return again.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ these star edges, once confirmed, give labels. Other pairs are confirmed only if
 near copies costs one confirmation a member rather than all pairs. In nodes that are still large at the last depth, sets that
 don't carry the label of the node's smallest member are compared to all members, in blocks.
 
-Nulls and edge cases: null, empty or blank texts have no set, link with nothing and stay; a single word is a set of one; rows
+Nulls and edge cases: null, empty or blank texts have no set, link with nothing and stay; fewer words than a shingle are a set of one; rows
 with equal sets are linked whatever their ids; null ids never name a component that has another id; repeated rows are in
 one component; an empty table gives an empty result; texts are taken whole; extra columns are ignored.
 """
@@ -53,8 +53,8 @@ def _geometric(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Distinct 64-bit hashes of the 2-word shingles of each lowered text; a lone word is a shingle."""
+def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of the shingles of `width` words of each lowered text; fewer words are one shingle."""
     flat = b" " + b" ".join(texts) + b" "
     data = np.frombuffer(flat, np.uint8)
     space = _SPACE[data]
@@ -64,12 +64,19 @@ def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
     np.cumsum(_BYTE[data] * _geometric("up", _BASE, len(data)), out=prefix[1:])
     word = (prefix[end] - prefix[start]) * _geometric("down", _INVERSE, len(data))[start]
     word = mix64(word + (end - start).astype(np.uint64))
-    sizes = np.array([len(t) + 1 for t in texts])
-    limits = np.searchsorted(start, np.concatenate([[1], 1 + np.cumsum(sizes)]))
-    pair = mix64(word[:-1] * _BASE + word[1:]) if len(word) > 1 else word[:0]
+    limits = np.searchsorted(start, np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for t in texts])]))
+    runs = word
+    for i in range(1, width):
+        runs = mix64(runs[:-1] * _BASE + word[i:]) if len(runs) > 1 else runs[:0]
     out = []
     for a, b in zip(limits[:-1], limits[1:]):
-        out.append(np.unique(pair[a : b - 1]) if b - a > 1 else word[a:b])
+        if b - a >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+        else:
+            few = word[a:b]
+            for i in range(1, b - a):
+                few = mix64(few[:-1] * _BASE + word[a + i : b])
+            out.append(few[:1])
     return out
 
 
@@ -82,7 +89,7 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """rid, doc_id, text -> rid, doc_id, n, k1, k2, tokens. (n, k1, k2) names the set: its size, the sum and the exclusive or of its hashes."""
     for batch in batches:
         rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -91,7 +98,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
 
         def flush() -> None:
-            for h in shingle_hashes(texts):
+            for h in shingle_hashes(texts, width):
                 i = len(rows)
                 if len(h):
                     k1, k2 = int(h.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ _BASE)).view(np.int64))
@@ -249,9 +256,9 @@ def _candidates(similarity: float):  # noqa: ANN202
     return task
 
 
-def shingles(text: str | None) -> set:
+def shingles(text: str | None, width: int) -> set:
     words = lower_words(text or "")
-    return set(zip(words, words[1:])) if len(words) > 1 else set(words)
+    return set(zip(*(words[i:] for i in range(width)))) if len(words) >= width else {tuple(words)} if words else set()
 
 
 def _membership(ids: DataFrame) -> np.ndarray:
@@ -264,7 +271,7 @@ def _membership(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets share `percent` of their union. texts: (s, text)."""
     bits = pairs.sparkSession.sparkContext.broadcast(_membership(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s")))))
 
@@ -279,8 +286,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> D
             keep = []
             for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if b != last:
-                    last, held = b, shingles(y.as_py())
-                own = shingles(x.as_py())
+                    last, held = b, shingles(y.as_py(), width)
+                own = shingles(x.as_py(), width)
                 both = len(own & held)
                 keep.append(100 * both >= percent * (len(own) + len(held) - both) and bool(both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -308,11 +315,11 @@ def _large_pairs(large: DataFrame, sketches: DataFrame, labels: DataFrame, simil
     return pairs.select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_candidates(similarity), _PAIR).select("a", "b")
 
 
-def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
     """Per row: rid (its place), doc_id, n_shingles, s (its set, null if empty), root (the component's smallest set), component_id, kept."""
     similarity = percent / 100
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(numbered.mapInArrow(_sets, "rid bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, tokens binary"), "near-rows")
+    rows = stored(numbered.mapInArrow(lambda batches: _sets(batches, shingle), "rid bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, tokens binary"), "near-rows")
     full = rows.where(F.col("n") > 0)
     key = ["n", "k1", "k2"]
     nodes = stored(full.groupBy(*key).agg(F.min("rid").alias("s"), F.min("doc_id").alias("id")), "near-nodes")
@@ -330,11 +337,11 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", percent
     star = star.join(end("a", "a"), "a").join(end("b", "b"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_candidates(similarity), _PAIR)
     pairs = stored(pairs.unionAll(star).groupBy("a", "b").agg(F.max("star").alias("star")), "near-pairs")
     texts = numbered.select(F.col("rid").alias("s"), "text")
-    stars = _confirmed(pairs.where("star"), texts, percent, "near-stars")
+    stars = _confirmed(pairs.where("star"), texts, percent, shingle, "near-stars")
     labels = stored(connected_components(stars), "near-labels")
     rest = pairs.where(~F.col("star")).select("a", "b").unionAll(_large_pairs(large, sketch, labels, similarity)).distinct()
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b")
-    links = _confirmed(stored(rest, "near-rest"), texts, percent, "near-links")
+    links = _confirmed(stored(rest, "near-rest"), texts, percent, shingle, "near-links")
     roots = connected_components(stars.unionAll(links))
     rooted = _labelled(nodes, roots, "s", "root")
     names = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "near-components")
@@ -355,9 +362,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([flat[i : i + COORDINATES] for i in range(0, len(flat), COORDINATES)], pa.binary())], names=["s", "n", "sketch"])
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id, the first of those. Rows without a set stay."""
-    found = stored(link(docs, text=text, id_col=id_col, percent=percent), "near-found")
+    found = stored(link(docs, text=text, id_col=id_col, shingle=shingle, percent=percent), "near-found")
     grouped = found.where(F.col("root").isNotNull())
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias("rid"))
     stay = first.unionAll(found.where(F.col("root").isNull()).select("rid"))

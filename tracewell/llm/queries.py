@@ -14,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def byte_vocabulary() -> str:
+    return _vocabulary("byte_bpe_50k.json")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.llm.quality_rules import fit, judge
 
@@ -31,7 +35,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary=_vocabulary("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary=byte_vocabulary())
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
