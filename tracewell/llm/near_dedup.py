@@ -32,7 +32,8 @@ COORDINATES = 96
 TREES = 12
 LEAF = 64
 DEPTH = 5
-_PORTION = 1 << 21  # bytes hashed at a time
+_PORTION = 1 << 20  # bytes hashed at a time
+_OTHERS, _MEMBERS = 64, 512  # sets of a block on either side
 _FILTER = 4_194_301  # places of the membership filter: a prime, half a megabyte of bits at any input size
 
 _SPACE = np.zeros(256, bool)
@@ -271,15 +272,20 @@ def _membership(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets share `percent` of their union. texts: (s, text)."""
-    bits = pairs.sparkSession.sparkContext.broadcast(_membership(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s")))))
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (s, text) whose s may be among ids."""
+    bits = ids.sparkSession.sparkContext.broadcast(_membership(ids))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = np.mod(batch.column(0).to_numpy(), _FILTER)
             yield batch.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
 
+    return texts.mapInArrow(members, "s bigint, text string")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets share `percent` of their union. texts: (s, text)."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in batches:
@@ -292,7 +298,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, nam
                 keep.append(100 * both >= percent * (len(own) + len(held) - both) and bool(both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = texts.mapInArrow(members, "s bigint, text string")
+    some = _texts_of(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))), texts)
     # the smaller end of a star has many edges: it comes last, so that its text meets rows that carry the other end's
     both = pairs.select("a", "b").join(some.select(F.col("s").alias("b"), F.col("text").alias("x")), "b")
     both = both.join(some.select(F.col("s").alias("a"), F.col("text").alias("y")), "a").select(F.col("b").alias("p"), F.col("a").alias("q"), "x", "y")
@@ -304,15 +310,55 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, label: str) -> Da
     return rows.join(other, F.col(column) == F.col("__n"), "left").withColumn(label, F.coalesce(label, column)).drop("__n")
 
 
-def _large_pairs(large: DataFrame, sketches: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Candidates in large nodes at the last depth: each set that lacks the label of the smallest member, in blocks, with all members."""
+def _large_links(large: DataFrame, sketches: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float, percent: int, width: int) -> DataFrame:
+    """Links across labels in large nodes of the last depth.
+
+    A set that lacks the label of a node's smallest member is compared to all that have it, and to the others that lack it, once
+    for each label whatever the number of nodes. Both sides are dealt into blocks by hash; a task holds one block of each and tells at
+    most one link of a set with each label, which is all that components need.
+    """
+    least = _agree(similarity)
     rows = _labelled(large, labels, "s", "l")
     head = rows.groupBy("node").agg(F.min(F.struct("s", "l")).alias("head"), F.min("l").alias("lo"), F.max("l").alias("hi")).where(F.col("lo") != F.col("hi"))
-    mixed = rows.join(head.select("node", F.col("head.l").alias("own")), "node")
-    others = mixed.where(F.col("l") != F.col("own")).join(sketches, "s").select("node", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("l").alias("lb"))
-    members = mixed.join(sketches, "s").select("node", F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("l").alias("la"))
-    pairs = members.join(others, "node").where(F.col("la") != F.col("lb")).where((F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    return pairs.select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_candidates(similarity), _PAIR).select("a", "b")
+    others = stored(rows.join(head.select("node", F.col("head.l").alias("own")), "node").where(F.col("l") != F.col("own")).select("own", "s").distinct(), "near-others")
+    owns = others.select("own").distinct()
+    members = labels.join(owns, F.col("component") == F.col("own")).select("own", F.col("node").alias("s")).unionAll(owns.select("own", F.col("own").alias("s")))
+    every = members.withColumn("other", F.lit(0)).unionAll(others.withColumn("other", F.lit(1))).groupBy("own", "s").agg(F.max("other").alias("other"))
+    every = stored(every, "near-large-members")
+    sizes = every.groupBy("own").agg(F.ceil(F.sum("other") / _OTHERS).cast("int").alias("blocks"), F.ceil(F.count("*") / _MEMBERS).cast("int").alias("chunks"))
+    full = _labelled(every, labels, "s", "l").join(sizes, "own").join(sketches, "s").join(_texts_of(every.select("s"), texts), "s")
+    right = full.withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = full.where(F.col("other") == 1).withColumn("block", F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    columns = ["own", "block", "chunk", "s", "n", "l", "sketch", "other", "text"]
+
+    def task(some: pa.Table, all_: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        some = some.rename_columns(columns)
+        if some.num_rows and all_.num_rows:
+            (x, nx, lx), (y, ny, ly) = ([t.column(c).to_numpy() for c in ("s", "n", "l")] for t in (some, all_))
+            kx, ky = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES) for t in (some, all_))
+            twice = all_.column("other").to_numpy() == 1  # such pairs come up on both sides
+            tx, ty, held = some.column("text"), all_.column("text"), {}
+            for i in range(len(x)):
+                near = ((kx[i] == ky).sum(1) >= least) & (ly != lx[i]) & (np.minimum(nx[i], ny) >= similarity * np.maximum(nx[i], ny)) & ~(twice & (y <= x[i]))
+                own, told = None, set()
+                places = np.flatnonzero(near)
+                for j in places[np.argsort(-(kx[i] == ky[places]).sum(1), kind="stable")].tolist():
+                    if ly[j] in told:
+                        continue
+                    own = shingles(tx[i].as_py(), width) if own is None else own
+                    if j not in held:
+                        held[j] = shingles(ty[j].as_py(), width)
+                    both = len(own & held[j])
+                    if 100 * both >= percent * (len(own) + len(held[j]) - both):
+                        told.add(ly[j])
+                        found.append((min(x[i], y[j]), max(x[i], y[j])))
+        return pa.table({"a": pa.array([int(f[0]) for f in found], pa.int64()), "b": pa.array([int(f[1]) for f in found], pa.int64())})
+
+    a, b = left.select(*columns).toDF(*[f"x_{c}" for c in columns]), right.select(*columns)
+    met = a.groupBy("x_own", "x_block", "x_chunk").cogroup(b.groupBy("own", "block", "chunk"))
+    return stored(met.applyInArrow(task, "a bigint, b bigint"), "near-large-links")
 
 
 def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -339,10 +385,11 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     texts = numbered.select(F.col("rid").alias("s"), "text")
     stars = _confirmed(pairs.where("star"), texts, percent, shingle, "near-stars")
     labels = stored(connected_components(stars), "near-labels")
-    rest = pairs.where(~F.col("star")).select("a", "b").unionAll(_large_pairs(large, sketch, labels, similarity)).distinct()
+    rest = pairs.where(~F.col("star")).select("a", "b")
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b")
     links = _confirmed(stored(rest, "near-rest"), texts, percent, shingle, "near-links")
-    roots = connected_components(stars.unionAll(links))
+    wide = _large_links(large, sketch, labels, texts, similarity, percent, shingle)
+    roots = connected_components(stars.unionAll(links).unionAll(wide))
     rooted = _labelled(nodes, roots, "s", "root")
     names = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "near-components")
     named = rooted.join(names, "root").select(*[F.col(c).alias(f"__{c}") for c in key], "s", "root", "component_id")
