@@ -31,7 +31,7 @@ from tracewell.plans.components import connected_components
 COORDINATES = 96
 TREES = 12
 LEAF = 64
-DEPTH = 5
+DEPTH = 4
 _PORTION = 1 << 20  # bytes hashed at a time
 _OTHERS, _MEMBERS = 64, 512  # sets of a block on either side
 _FILTER = 4_194_301  # places of the membership filter: a prime, half a megabyte of bits at any input size
