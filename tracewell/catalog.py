@@ -470,7 +470,7 @@ def prov_export(spark: SparkSession, d: str) -> DataFrame:
     rel = graph.touching(_named_relations(spark, d), acts.select("id"))
     ends = graph.endpoints(rel).where(F.col("node").startswith("e")).select(F.col("node").alias("id"), F.col("node").alias("label"), none("string").alias("file_path"), F.lit(1).alias("content_version"))
     agents = spark.createDataFrame([("agent", "3.34")], "id string, qgis_version string")
-    return prov_json(acts, ends, agents, stored(rel, "prov-relations"))
+    return prov_json(acts, ends, agents, stored(rel.withColumn("id", S.derived_id("relation_type", "source_id", "target_id")), "prov-relations"))
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tracewell.functions import fixed
 from tracewell.functions.scalars import derived_id, suggested_name
 from tracewell.plans.components import connected_components
+from tracewell.plans.tables import stored
 
 
 def session_datasets(activities: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def regroup(activities: DataFrame, links: DataFrame, workflows: DataFrame, membe
     is renamed only if its name is what its earlier members suggest, or none. Result: workflows (id, name, session_id, created_at), members
     (workflow_id, activity_id, sequence_order) and deleted (workflow_id).
     """
-    groups = session_components(activities, links)
+    groups = stored(session_components(activities, links), "regroup-components")
     act = activities.select(F.col("id").alias("activity"), "session_id", "started_at", F.coalesce(F.nullif(F.trim("algorithm_name"), F.lit("")), "algorithm_id").alias("step"))
-    placed = in_sequence(groups.join(act, "activity"), ["component"], F.col("started_at"), F.col("activity"))
+    placed = stored(in_sequence(groups.join(act, "activity"), ["component"], F.col("started_at"), F.col("activity")), "regroup-placed")
     named = titles(placed, ["component"], "sequence_order", "step")
     mine = workflows.join(activities.select("session_id").distinct(), "session_id", "left_semi").select(F.col("id").alias("workflow_id"), F.col("name").alias("old_name"), "session_id", F.col("created_at").alias("old_created"))
     before = members.join(mine.select("workflow_id"), "workflow_id", "left_semi")
@@ -68,12 +69,14 @@ def regroup(activities: DataFrame, links: DataFrame, workflows: DataFrame, membe
     head = placed.where(F.col("sequence_order") == 0).select("component", F.struct("started_at", F.col("activity").alias("x")).alias("first"))
     overlap = overlap.join(head, "component").groupBy("workflow_id").agg(F.min_by("component", "first").alias("component"))
     kept = overlap.join(mine, "workflow_id").groupBy("component").agg(F.min(F.struct("old_created", "workflow_id")).alias("k")).select("component", F.col("k.workflow_id").alias("workflow_id"))
+    kept = stored(kept, "regroup-kept")
     full = named.join(head, "component").join(kept, "component", "left").join(mine.drop("session_id"), "workflow_id", "left").join(old_title.withColumnRenamed("suggested_name", "old_title"), "workflow_id", "left")
     sessions = placed.where(F.col("sequence_order") == 0).select("component", "session_id", "started_at")
     full = full.join(sessions, "component").withColumn("id", F.coalesce("workflow_id", derived_id(F.lit("workflow"), "component")))
     old = F.trim(F.coalesce("old_name", F.lit("")))
     auto = (old == "") | (old == fixed.UNNAMED) | (old == F.coalesce("old_title", F.lit("")))
     result = full.select("id", F.when(auto, F.col("suggested_name")).otherwise(F.col("old_name")).alias("name"), "session_id", F.coalesce("old_created", "started_at").alias("created_at"), "component")
+    result = stored(result, "regroup-workflows")
     rows = placed.join(result.select("component", F.col("id").alias("workflow_id")), "component").select("workflow_id", F.col("activity").alias("activity_id"), "sequence_order")
     return {"workflows": result.drop("component"), "members": rows, "deleted": mine.select("workflow_id").join(kept.select("workflow_id"), "workflow_id", "left_anti")}
 

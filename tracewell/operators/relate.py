@@ -10,6 +10,7 @@ from tracewell.functions import scalars as S
 from tracewell.operators.dedup import first_wins
 from tracewell.operators.normalize import event_keys
 from tracewell.operators.versions import assign_versions
+from tracewell.plans.tables import stored
 
 
 def decide(events: DataFrame, arrival: str | None = None) -> DataFrame:
@@ -46,7 +47,11 @@ def references(events: DataFrame) -> DataFrame:
 
 def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the log for events. probes: (path, size_bytes, mtime_us) of files that can be read now."""
+    # what follows reads decisions and references several times, so both are stored
     decided = decide(events, arrival)
+    if dict(decided.dtypes)["parameters"] == "variant":
+        decided = decided.withColumn("parameters", F.to_json("parameters"))
+    decided = stored(decided, "record-decided")
     kept = decided.where("recorded").withColumn("activity_id", S.derived_id(F.lit("activity"), "event_id"))
     agents = distinct_agents(kept)
     fingerprint = S.environment_fingerprint("agent.qgis_version", "agent.os_info", "agent.python_version", "agent.plugin_versions")
@@ -63,7 +68,7 @@ def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | No
     versions = assign_versions(refs, path="path", arrival="ref", ident="ref", writing="writing", size="size_bytes", mtime="mtime_us")
     refs = refs.join(versions.withColumnRenamed("id", "ref"), "ref")
     refs = refs.withColumn("entity_id", F.when(F.col("path").isNull(), S.derived_id(F.lit("entity"), F.lit("ref"), "ref")).otherwise(S.derived_id(F.lit("entity"), "path", "version")))
-    refs = refs.join(kept.select("seq", "activity_id", "start_ts"), "seq")
+    refs = stored(refs.join(kept.select("seq", "activity_id", "start_ts"), "seq"), "record-references")
     facts = F.struct("feature_count", "band_count", "pixel_size", "width", "height", "size_bytes", "mtime_us")
     entities = refs.where("fresh").select(
         F.col("entity_id").alias("id"), F.lit("dataset").alias("entity_type"), S.path_label(F.lit(None).cast("string"), "path", "param").alias("label"), F.col("path").alias("file_path"), F.col("version").alias("content_version"), "format", "crs",
