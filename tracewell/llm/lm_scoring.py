@@ -39,13 +39,13 @@ _STEP = 1 << 19  # bytes counted or scored at a time: arrays of 4 MB
 
 
 class Table:
-    """uint64 keys to float32 values, by open addressing; lookups are vectorised."""
+    """uint64 keys to numbers, by open addressing; lookups are vectorised."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, (2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
-        self.values = np.zeros(1 << bits, np.float32)
+        self.values = np.zeros(1 << bits, np.float64)
         at, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = self.slots[at[todo]] == np.iinfo(np.uint64).max
@@ -60,7 +60,7 @@ class Table:
         return (mix64(keys) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value) for each key."""
+        """(found, value) for each key; 0 where there is none."""
         at = self._slot(keys)
         held = self.slots[at]
         hit = held == keys
@@ -73,6 +73,7 @@ class Table:
             hit[open_[now]] = True
             values[open_[now]] = self.values[at[open_[now]]]
             open_ = open_[~now & (held != np.iinfo(np.uint64).max)]
+        values[~hit] = 0
         return hit, values
 
 
@@ -94,6 +95,9 @@ class Model:
             mass = np.where(full, total, total + kinds)
             self.grams.append(Table(keys, np.log10(n / mass[at])))
             self.escapes.append(Table(context, np.where(full, -12.0, np.log10(kinds / mass) - np.log10(unseen))))
+        # the small differences that escapes hang on are taken; single precision does for what is looked up
+        for table in self.grams:
+            table.values = table.values.astype(np.float32)
 
     def log10(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
         """log10 P of the last byte of each key in the context of the bytes before it."""
@@ -104,6 +108,7 @@ class Model:
             now = keys[rest] & np.uint64((1 << (8 * (k + 1))) - 1)
             hit, value = self.grams[k].find(now)
             miss = np.flatnonzero(~hit)
+            value = value.astype(np.float64, copy=False)
             value[miss] = self.escapes[k].find(now[miss] >> np.uint64(8))[1]  # 0 for a context never seen
             out[rest] += value
             rest = miss if isinstance(rest, slice) else rest[miss]
