@@ -6,7 +6,7 @@ above the length". If none fits and all places are taken, the fullest bin closes
 batches, longest first within a batch, so that small pieces find the gaps that large ones leave.
 
 Tokens are those of the `tokenizers` vocabulary file; they are made by the byte-pair merger of `tiktoken` from the same
-vocabulary (tests hold both against each other), word by word, with a bounded memo.
+vocabulary (tests hold both against each other).
 
 Nulls and edge cases: a null or empty text is the closing id alone; a null id is passed on; documents longer than a sequence are cut, the
 remainder first; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,9 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-#: A space between two characters that are no white space always begins a new token of the byte-level pattern.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_MEMO = 400_000
 
 
 def bytes_of_alphabet() -> dict[str, int]:
@@ -52,31 +48,13 @@ class Encoder:
         alphabet = bytes_of_alphabet()
         special = {x["content"]: x["id"] for x in model["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.special = [s for s in special]
+        self.special = list(special)
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.memo: dict[str, bytes] = {}
-
-    def _raw(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.bpe.encode(text, allowed_special="all")
-        else:
-            ids = self.bpe.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        memo, out = self.memo, []
-        if len(memo) > _MEMO:
-            memo.clear()
-        lead = ""
-        for word in _CUT.split(text):
-            word, lead = lead + word, " "
-            ids = memo.get(word)
-            if ids is None:
-                ids = self._raw(word)
-                if len(word) < 48:
-                    memo[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        # the vocabulary's own special tokens are recognised in texts, as the tokenizer file has it
+        allowed = "all" if any(s in text for s in self.special) else set()
+        return self.bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
