@@ -35,7 +35,7 @@ KMER = 64
 _CHUNK = 1 << 17  # bytes hashed at a time: arrays of 1 MB, which stay in cache
 _PORTION = 1 << 22  # bytes after which segments leave a task
 _GROUPS = 1 << 20  # bytes of segments sorted at a time
-HOT = 2048  # different segments of one key from which windows meet on their own
+HOT = 256  # different segments of one key from which windows meet on their own
 
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = np.uint64(0x9FB21C651E98DF25)
