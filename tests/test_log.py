@@ -11,7 +11,7 @@ from tracewell.operators.export import prov_json
 from tracewell.operators.normalize import build_events
 from tracewell.operators.relate import record
 from tracewell.operators.versions import assign_versions
-from tracewell.sources.events import new_entries, parse_history, quarantine, read_events
+from tracewell.sources.events import entry_counts, new_entries, next_mark, parse_history, quarantine, read_events
 from tracewell.sources.store import LogStore, StoreError, resolve_path
 
 T0 = datetime(2026, 8, 8, 10, 0, 0, tzinfo=timezone.utc)
@@ -147,6 +147,7 @@ def test_history_and_quarantine(spark):
     out = {r["entry_id"]: (r["algorithm_id"], r["parameters"]) for r in parse_history(new_entries(df, 0)).collect()}
     assert out == {"1": ("native:buffer", '{"A":2,"B":1}'), "2": ("gdal:warp", "{}"), "4": (None, "{}")}
     assert new_entries(df, 1).count() == 2
+    assert tuple(entry_counts(df, 1).first()) == (5, 2) and next_mark(df, 1) == 4 and next_mark(df.limit(0), 7) == 7
     ev = spark.createDataFrame([("e", "s", "post_hook", "a", "completed", "2026-08-08T10:00:00Z"), (None, "s", "other", "", "completed", "x")], "event_id string, session_id string, source string, algorithm_id string, status string, started_at string")
     good, bad = quarantine(ev)
     assert good.count() == 1 and len(bad.first()["reasons"]) == 4
@@ -185,3 +186,41 @@ def test_audit(spark):
     versions = spark.createDataFrame([("3.34.8", "3.40.0")], "a string, b string")
     got = versions.select(audit.environment_similar(F.col("a"), F.col("b")), audit.environment_similar(F.col("a"), F.col("b"), "minor")).first()
     assert tuple(got) == (True, False)
+
+
+def test_versions_of_the_log(spark, tmp_path, monkeypatch):
+    from tracewell import schemas
+    from tracewell.sources import store as st
+
+    LogStore(spark, str(tmp_path / "log")).append("one", {})
+    monkeypatch.setattr(schemas, "VERSION", 2)
+    ran = []
+    monkeypatch.setitem(st.MIGRATIONS, 1, ran.append)
+    assert LogStore(spark, str(tmp_path / "log")).schema_version() == 2 and len(ran) == 1
+    monkeypatch.setattr(schemas, "VERSION", 1)
+    with pytest.raises(StoreError, match="schema version 2"):
+        LogStore(spark, str(tmp_path / "log"))
+    spark.range(1).write.parquet(str(tmp_path / "odd/agents"))
+    with pytest.raises(StoreError, match="without a version"):
+        LogStore(spark, str(tmp_path / "odd"))
+
+
+def test_environment(spark):
+    from tracewell.sources.environment import agent_column, probe
+
+    facts = probe("3.34", {"b": "2", "a": "1"})
+    row = spark.range(1).select(agent_column(facts).alias("a")).first()["a"]
+    assert row["qgis_version"] == "3.34" and row["plugin_versions"] == {"a": "1", "b": "2"}
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    from tracewell.sources.files import hash_files, stat_files
+
+    (tmp_path / "a.txt").write_bytes(b"hello")
+    (tmp_path / "b.txt").write_bytes(b"x" * 100)
+    sizes = {r["path"].rpartition("/")[2]: r["size_bytes"] for r in stat_files(spark, str(tmp_path)).collect()}
+    assert sizes == {"a.txt": 5, "b.txt": 100}
+    out = {r["path"].rpartition("/")[2]: (r["hash_value"], r["hash_strategy"]) for r in hash_files(spark, str(tmp_path), limit_bytes=50).collect()}
+    assert out["a.txt"] == (hashlib.sha256(b"hello").hexdigest(), "file") and out["b.txt"][1] == "schema_sample"

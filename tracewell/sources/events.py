@@ -43,6 +43,12 @@ def new_entries(df: DataFrame, mark: int, *, entry_id: str = "entry_id", provide
     return df.where((as_int(entry_id) > mark) & (F.col(provider).isNull() | (F.col(provider) == "processing")))
 
 
+def entry_counts(df: DataFrame, mark: int, entry_id: str = "entry_id") -> DataFrame:
+    """(offered, skipped): entries seen, and those at or below the cursor, which came late or again."""
+    late = F.coalesce(as_int(entry_id) <= mark, F.lit(True))
+    return df.agg(F.count("*").alias("offered"), F.count_if(late).alias("skipped"))
+
+
 def next_mark(df: DataFrame, mark: int, entry_id: str = "entry_id") -> int:
     """The cursor after df: entries that are no jobs move it too."""
     return max(mark, df.agg(F.max(as_int(entry_id))).first()[0] or mark)

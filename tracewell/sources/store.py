@@ -6,6 +6,8 @@ sighting that corroborates an activity is a sighting row that is counted when re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,22 @@ def resolve_path(spark: SparkSession, override: str | None = None, default: str
     return (override or "").strip() or (spark.conf.get(SETTING, "") or "").strip() or default
 
 
+#: What takes a log from version n to n + 1, by n. Forward only.
+MIGRATIONS: dict[int, Callable[["LogStore"], None]] = {}
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, resolve_path(spark, path)
         version = self.schema_version()
         if version > schemas.VERSION:
             raise StoreError(f"the log has schema version {version}; this code knows {schemas.VERSION}")
+        if not version and any(self._exists(name) for name in schemas.TABLES):
+            raise StoreError("there are tables without a version")
+        while 0 < version < schemas.VERSION:
+            MIGRATIONS[version](self)
+            version += 1
+            self._commit(f"migrated to {version}", version)
 
     # -------------------------------------------------------------------------------------------- tables
 
@@ -88,7 +100,10 @@ class LogStore:
         for name, rows in tables.items():
             columns = [c.split()[0] for c in _split_ddl(self._schema(name))]
             rows.select(*columns).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(batch, schemas.VERSION)], _EXTRA["commits"]).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._commit(batch, schemas.VERSION)
+
+    def _commit(self, batch: str, version: int) -> None:
+        self.spark.createDataFrame([(batch, version)], _EXTRA["commits"]).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     # --------------------------------------------------------------------------------------- latest states
 
