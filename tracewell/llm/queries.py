@@ -90,5 +90,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
 
 
+_OP1_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.doc_id = s.doc_id"""
+
+_OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0::DOUBLE, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+k AS (SELECT *, 2.0::DOUBLE * source_size / w AS r FROM a),
+f AS (SELECT *, CAST(coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS full_before, CAST(sum(w) OVER (ORDER BY r, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS w_left, row_number() OVER (ORDER BY r, source) AS i FROM k),
+rate AS (SELECT arg_min((1.5::DOUBLE * (SELECT sum(source_size) FROM k) - full_before) / w_left, i) AS x FROM f WHERE (1.5::DOUBLE * (SELECT sum(source_size) FROM k) - full_before) / w_left <= r),
+g AS (SELECT source, source_size, least(w * x, 2.0::DOUBLE * source_size) AS target FROM k, rate),
+m AS (SELECT d.*, g.source_size, g.target, CAST(floor(g.target / greatest(g.source_size, 1)) AS BIGINT) AS copies, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, source, size, source_size, target, CAST(size * (copies + CASE WHEN copies >= 2 THEN 0 WHEN upto <= target - copies * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against brute force."""
+    return {"op1_near_dedup": _OP1_SQL, "op8_mixing": _OP8_SQL}
