@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, for sessions that were started without it on their path."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def session(name: str = "tracewell", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew handling, and the RocksDB state store. Sizes of partitions are left to the cluster."""
     builder = SparkSession.builder.appName(name)
