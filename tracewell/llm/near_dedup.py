@@ -33,7 +33,7 @@ TREES = 12
 LEAF = 64
 DEPTH = 4
 _PORTION = 1 << 20  # bytes hashed at a time
-_OTHERS, _MEMBERS = 64, 512  # sets of a block on either side
+_OTHERS, _MEMBERS = 512, 512  # sets of a block on either side
 _FILTER = 4_194_301  # places of the membership filter: a prime, half a megabyte of bits at any input size
 
 _SPACE = np.zeros(256, bool)
@@ -167,10 +167,10 @@ def _trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(sets.select("s", "tokens").mapInArrow(_branch(True), "node bigint, s bigint"), "near-level1")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > 1), f"near-sizes{depth}")
-        leaf = rows.join(sizes.where(F.col("c") <= LEAF), "node").select("node", "s")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+        tagged = stored(rows.join(sizes, "node").select("node", "s", (F.col("c") > LEAF).alias("large")), f"near-nodes{depth}")
+        leaf, large = (tagged.where(F.col("large") == x).select("node", "s") for x in (False, True))
         leaves = leaf if leaves is None else leaves.unionAll(leaf)
-        large = rows.join(sizes.where(F.col("c") > LEAF), "node").select("node", "s")
         if depth == DEPTH:
             return leaves, large
         lists = large.groupBy("s").agg(F.collect_list("node").alias("nodes"))  # at most a few a tree
@@ -376,7 +376,6 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     leaf_rows = leaves.join(sketch, "s").select("node", "s", "n", "sketch").repartition("node").sortWithinPartitions("node")
     pairs = leaf_rows.mapInArrow(_leaf_pairs(similarity), _PAIR)
     # large nodes: stars around the smallest member
-    large = stored(large, "near-large")
     heads = large.groupBy("node").agg(F.min("s").alias("b"))
     star = large.join(heads, "node").where(F.col("s") != F.col("b")).select(F.col("s").alias("a"), "b").distinct()
     end = lambda c, x: sketch.select(F.col("s").alias(c), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
