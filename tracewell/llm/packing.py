@@ -3,7 +3,8 @@
 Each task packs the pieces of its own partition, so packing is one narrow stage. A fixed number of bins is open at a time. They
 are filed by free space; a bitset, kept as one integer, has a bit for each free space that some bin has, so best fit is "lowest set bit at or
 above the length". If none fits and all places are taken, the fullest bin closes first. Pieces arrive in bounded
-batches, longest first within a batch, so that small pieces find the gaps that large ones leave.
+batches, longest first within a batch, so that small pieces find the gaps that large ones leave; as many bins are open as a batch
+has pieces, since otherwise bins would close before a batch's small pieces come.
 
 Tokens are those of the `tokenizers` vocabulary file; they are made by the byte-pair merger of `tiktoken` from the same
 vocabulary (tests hold both against each other).
@@ -107,7 +108,7 @@ def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pack(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, open_bins: int = 1024, batch_pieces: int = 16_384, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, open_bins: int = 16_384, batch_pieces: int = 16_384, end_id: int = 0) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
