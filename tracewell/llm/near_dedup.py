@@ -91,7 +91,10 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, text -> rid, doc_id, n, k1, k2, tokens. (n, k1, k2) names the set: its size, the sum and the exclusive or of its hashes."""
+    """rid, doc_id, text -> rid, doc_id, n, k1, k2, tokens, sketch (a byte a token).
+
+    (n, k1, k2) names the set: its size, the sum and the exclusive or of its hashes.
+    """
     for batch in batches:
         rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows: list[tuple] = []
@@ -103,9 +106,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 i = len(rows)
                 if len(h):
                     k1, k2 = int(h.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ _BASE)).view(np.int64))
-                    rows.append((rids[i], ids[i], len(h), k1, k2, minwise(h).tobytes()))
+                    tokens = minwise(h)
+                    rows.append((rids[i], ids[i], len(h), k1, k2, tokens.tobytes(), (tokens & np.uint32(255)).astype(np.uint8).tobytes()))
                 else:
-                    rows.append((rids[i], ids[i], 0, None, None, None))
+                    rows.append((rids[i], ids[i], 0, None, None, None, None))
             texts.clear()
 
         for value in batch.column(2):
@@ -117,8 +121,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         if texts:
             flush()
         if rows:
-            kinds = [*[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rid", "doc_id", "n", "k1", "k2", "tokens"])
+            kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rid", "doc_id", "n", "k1", "k2", "tokens", "sketch"])
 
 
 # ---------------------------------------------------------------------------------------------- the trees
@@ -365,13 +369,12 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     """Per row: rid (its place), doc_id, n_shingles, s (its set, null if empty), root (the component's smallest set), component_id, kept."""
     similarity = percent / 100
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(numbered.mapInArrow(lambda batches: _sets(batches, shingle), "rid bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, tokens binary"), "near-rows")
+    rows = stored(numbered.mapInArrow(lambda batches: _sets(batches, shingle), "rid bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, tokens binary, sketch binary"), "near-rows")
     full = rows.where(F.col("n") > 0)
     key = ["n", "k1", "k2"]
-    nodes = stored(full.groupBy(*key).agg(F.min("rid").alias("s"), F.min("doc_id").alias("id")), "near-nodes")
-    sets = full.select("rid", "tokens").join(nodes, F.col("rid") == F.col("s")).select("s", "n", "tokens")
-    sets = stored(sets, "near-sets")
-    sketch = stored(sets.mapInArrow(_sketches, "s bigint, n bigint, sketch binary"), "near-sketches")
+    first = full.groupBy(*key).agg(F.min("rid").alias("s"), F.min("doc_id").alias("id"), F.min_by(F.struct("tokens", "sketch"), "rid").alias("t"))
+    sets = stored(first.select(*key, "s", "id", "t.tokens", "t.sketch"), "near-sets")
+    nodes, sketch = sets.select(*key, "s", "id"), sets.select("s", "n", "sketch")
     leaves, large = _trees(sets)
     leaf_rows = leaves.join(sketch, "s").select("node", "s", "n", "sketch").repartition("node").sortWithinPartitions("node")
     pairs = leaf_rows.mapInArrow(_leaf_pairs(similarity), _PAIR)
@@ -399,15 +402,6 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), "s", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One byte a coordinate."""
-    for batch in batches:
-        if batch.num_rows:
-            low = (_token_matrix(batch.column(2)) & np.uint32(255)).astype(np.uint8)
-            flat = low.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([flat[i : i + COORDINATES] for i in range(0, len(flat), COORDINATES)], pa.binary())], names=["s", "n", "sketch"])
-
-
 def keep_one(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id, the first of those. Rows without a set stay."""
     found = stored(link(docs, text=text, id_col=id_col, shingle=shingle, percent=percent), "near-found")
