@@ -15,7 +15,6 @@ remainder first; repeated rows are packed each; an empty table gives an empty re
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from collections.abc import Iterator
