@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracewell.functions import scalars as S
 from tracewell.operators.dedup import first_wins
@@ -15,10 +14,15 @@ from tracewell.plans.tables import stored
 
 def decide(events: DataFrame, arrival: str | None = None) -> DataFrame:
     """events with seq (arrival), dedup keys, anchor seq and recorded. arrival: a column that orders sightings; by default start and id."""
-    order = [F.col(arrival)] if arrival else [S.instant("started_at"), F.col("event_id")]
-    seq = events.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint")) if arrival is None else events.withColumn("seq", F.col(arrival).cast("bigint"))
-    keyed = seq if "dedup_group" in events.columns else event_keys(seq)
+    keyed = events if "dedup_group" in events.columns else event_keys(events)
+    if dict(keyed.dtypes)["parameters"] == "variant":
+        keyed = keyed.withColumn("parameters", F.to_json("parameters"))
     keyed = keyed.withColumns({"start_ts": S.instant("started_at"), "end_ts": S.instant("ended_at")})
+    if arrival:
+        keyed = keyed.withColumn("seq", F.col(arrival).cast("bigint"))
+    else:  # sorted by range, so places ascend over partitions; stored, so they stay
+        keyed = keyed.orderBy("start_ts", "event_id").withColumn("seq", F.monotonically_increasing_id())
+    keyed = stored(keyed, "record-arrivals")
     found = first_wins(keyed, group="dedup_group", arrival="seq", ident="seq", start="start_ts", end="end_ts")
     return keyed.join(found.select(F.col("id").alias("seq"), "anchor"), "seq").withColumn("recorded", F.col("anchor") == F.col("seq"))
 
@@ -48,10 +52,7 @@ def references(events: DataFrame) -> DataFrame:
 def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the log for events. probes: (path, size_bytes, mtime_us) of files that can be read now."""
     # what follows reads decisions and references several times, so both are stored
-    decided = decide(events, arrival)
-    if dict(decided.dtypes)["parameters"] == "variant":
-        decided = decided.withColumn("parameters", F.to_json("parameters"))
-    decided = stored(decided, "record-decided")
+    decided = stored(decide(events, arrival), "record-decided")
     kept = decided.where("recorded").withColumn("activity_id", S.derived_id(F.lit("activity"), "event_id"))
     agents = distinct_agents(kept)
     fingerprint = S.environment_fingerprint("agent.qgis_version", "agent.os_info", "agent.python_version", "agent.plugin_versions")
