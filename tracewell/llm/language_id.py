@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from tracewell.llm.common import crc_rest
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
 
 
 def sample(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_language: int = 240, chars_per_doc: int = 1500) -> dict[str, bytes]:
@@ -72,7 +72,7 @@ def _judge(dictionaries: tuple[tuple[str, bytes], ...], level: int, close_level:
 
 def decide(judge: Judge | None, text: str | None, margin: float) -> tuple[str, float, bool]:
     """(language, score, confident). The score is the best size's share among all, as a power of two bits for each byte of difference."""
-    if judge is None or text is None or not _LETTER.search(text):
+    if judge is None or text is None or not (_LETTER.search(text) or any(c.isalpha() for c in text)):
         return UNKNOWN, 0.0, False
     body = text.lower().encode("utf-8", "surrogatepass")
     sizes = judge.sizes(body)
