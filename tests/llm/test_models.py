@@ -80,6 +80,19 @@ def test_model_is_a_distribution():
         assert np.allclose(p.sum(1), 1, atol=1e-5)
 
 
+def test_scores_beyond_what_is_sent(docs):
+    """Orders too large to send give the scores of the whole model, whichever of them are."""
+    scores = lambda **kw: sorted((str(r["doc_id"]), r["score"]) for r in lm_scoring.score(docs, **kw).collect())
+    want = scores()
+    grams = lm_scoring.count(docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1).select("text")).where("gram IS NOT NULL")
+    kinds = [grams.select(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))).distinct().count() for k in range(lm_scoring.ORDER + 1)]
+    assert 100 < kinds[2] < kinds[3] < kinds[4]
+    for most in (100, kinds[2], kinds[3], kinds[4] - 1):
+        got = scores(max_grams=most)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert all(math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-3) for (_, a), (_, b) in zip(got, want))
+
+
 def test_table():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))

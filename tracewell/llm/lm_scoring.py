@@ -6,10 +6,11 @@ left for escaping to the next shorter context. There the symbols of the longer o
 comes a uniform order. Since the model is fixed before scoring, exclusion depends on the context alone, so it is computed once
 as the context's escape weight, and a text is scored by a few table lookups a byte, whole batches at a time.
 
-Counting gathers n-grams and words of all training texts in Spark. The trie in use is bounded: each order keeps its most frequent
-grams, all that share a count or none, up to max_grams, so what is sent to executors does not grow. Word counts have no bound:
-words above a count threshold, at most max_head of them, travel as a table; the other words are joined in Spark, where none of
-them is frequent enough to make a hot key.
+Counting gathers n-grams and words of all training texts in Spark, and all of them are used; what is sent to executors does not grow
+with them. Orders of at most max_grams grams travel whole. Once the longest order has more, its max_grams most frequent grams travel with
+their final probabilities instead, and a text's other grams are scored in Spark, each once, by joins down the orders that don't travel.
+Words are treated alike: those above a count threshold, at most max_head of them, travel as a table; the other words are
+joined in Spark. None of what is joined is frequent enough in training texts to make a hot key.
 
 Nulls and edge cases: a null or empty text is its end symbol; without training documents the model is uniform and the base
 counts are 0 (a score of 0 per token when N + 0.5 (V + 1) is all the mass there is); repeated rows are counted and scored each;
@@ -21,11 +22,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.llm.common import crc_rest, mix64, stored
 
@@ -213,18 +216,88 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def fit_ppm(counts: DataFrame, max_grams: int = 1 << 20) -> Model:
-    """counts: (gram, n) of ORDER + 1 bytes. Shorter orders are sums of longer ones."""
-    levels = []
-    for k in range(ORDER + 1):
-        short = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts
-        if k >= 2:  # 2**16 keys at most below
-            short = short.where(F.col("n") >= _least_count(short, max_grams))
-        rows = short.select("gram", "n").toArrow()  # at most max_grams rows of two numbers
-        keys, n = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    return Model(levels)
+@dataclass
+class Fit:
+    """A model in the parts that scoring needs: whole orders as a Model; grams of the longest order and their log10 P, if that isn't whole."""
+
+    whole: Model
+    head: Table | None
+    orders: dict[int, tuple[DataFrame, DataFrame]]  # those beyond whole: (gram, p), (context, escape)
+
+
+def _order(level: DataFrame, k: int, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What Model computes, in Spark: (gram, context, p) and (context, escape) of order k. lower: (gram, p) of the order below, whose grams are the ends of these."""
+    by = Window.partitionBy("context")
+    rows = level.withColumn("context", F.shiftright("gram", 8)).withColumns({"total": F.sum("n").over(by), "kinds": F.count("*").over(by)})
+    full = F.col("kinds") >= SYMBOLS
+    rows = rows.withColumn("mass", F.when(full, F.col("total")).otherwise(F.col("total") + F.col("kinds"))).withColumn("p", F.log10(F.col("n") / F.col("mass")))
+    rows = stored(rows, f"lm-order-{k}")
+    ends = rows.withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(lower.select(F.col("gram").alias("end"), F.col("p").alias("under")), "end")
+    unseen = F.greatest(1.0 - F.sum(F.pow(F.lit(10.0), "under")), F.lit(1e-12))
+    escapes = ends.groupBy("context", "kinds", "mass").agg(unseen.alias("unseen"))
+    escape = F.when(full, F.lit(-12.0)).otherwise(F.log10(F.col("kinds") / F.col("mass")) - F.log10("unseen"))
+    return rows.select("gram", "p"), stored(escapes.select("context", escape.alias("escape")), f"lm-escapes-{k}")
+
+
+def _arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select("gram", value).toArrow()  # at most max_grams rows of two numbers
+    keys, values = found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def fit_ppm(counts: DataFrame, max_grams: int = 1 << 20) -> Fit:
+    """counts: (gram, n) of ORDER + 1 bytes. Shorter orders are sums of longer ones, and have no more grams than these."""
+    shorter = lambda df, k: df.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+    least = _least_count(counts, max_grams)
+    if least == 1:
+        return Fit(Model([_arrays(shorter(counts, k) if k < ORDER else counts, "n") for k in range(ORDER + 1)]), None, {})
+    levels, top = {ORDER: counts}, ORDER - 1  # top: the longest order that is whole
+    for k in range(ORDER - 1, -1, -1):
+        levels[k] = stored(shorter(levels[k + 1], k), f"lm-level-{k}")
+    while top > 1 and levels[top].count() > max_grams:  # 2**16 grams at most below
+        top -= 1
+    whole = Model([_arrays(levels[k], "n") for k in range(top + 1)])
+    total = levels[top].withColumn("context", F.shiftright("gram", 8)).withColumns({"total": F.sum("n").over(Window.partitionBy("context")), "kinds": F.count("*").over(Window.partitionBy("context"))})
+    lower = total.select("gram", F.log10(F.col("n") / (F.col("total") + F.when(F.col("kinds") >= SYMBOLS, 0).otherwise(F.col("kinds")))).alias("p"))
+    orders = {}
+    for k in range(top + 1, ORDER + 1):
+        orders[k] = _order(levels[k], k, lower)
+        lower = orders[k][0]
+    head = counts.where(F.col("n") >= least).select("gram").join(lower, "gram")
+    return Fit(whole, Table(*_arrays(head, "p")), orders)
+
+
+def _probabilities(grams: DataFrame, fit: Fit) -> DataFrame:
+    """(gram, p): log10 P of each of grams, down the orders that don't travel by joins, then by the model that does."""
+    top = min(fit.orders) - 1
+    model = grams.sparkSession.sparkContext.broadcast(fit.whole)
+    rows = grams.select("gram", F.col("gram").alias("at"), F.lit(0.0).alias("p"), F.lit(False).alias("done"))
+    for k in range(ORDER, top, -1):
+        seen, escapes = fit.orders[k]
+        # rows that are done go along with their whole gram, so they don't meet at one key, and take nothing
+        rows = rows.join(seen.select(F.col("gram").alias("at"), F.col("p").alias("seen")), "at", "left").withColumn("context", F.shiftright("at", 8)).join(escapes, "context", "left")
+        hit = F.col("done") | F.col("seen").isNotNull()
+        more = F.when(F.col("done"), 0.0).otherwise(F.coalesce("seen", "escape", F.lit(0.0)))
+        at = F.when(hit, F.col("gram")).otherwise(F.col("at").bitwiseAND(F.lit((1 << (8 * k)) - 1)))
+        rows = rows.select("gram", at.alias("at"), (F.col("p") + more).alias("p"), hit.alias("done"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, p, done = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy().copy(), batch.column(3).to_numpy(zero_copy_only=False)
+            p[~done] += model.value.log10(keys[~done], top)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["gram", "p"])
+
+    return rows.mapInArrow(task, "gram bigint, p double")
+
+
+def _unscored(keys: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts, its different keys and how often it has them; rows says whose each key is."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(keys[new].astype(np.int64)), pa.array(np.diff(np.append(new, len(keys))).astype(np.int64))], names=["gram", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32)), pairs)
 
 
 # ------------------------------------------------------------------------------------------------ scoring
@@ -239,12 +312,13 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
     words = counts.where(F.col("word").isNotNull()).select("word", "n")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, mass = total["n"] or 0, (total["n"] or 0) + 0.5 * (total["v"] + 1)
-    model = spark.sparkContext.broadcast(fit_ppm(grams, max_grams))
+    fit = fit_ppm(grams, max_grams)
+    model = spark.sparkContext.broadcast(fit.head or fit.whole)
     least = _least_count(words, max_head)
     head_rows = words.where((F.col("n") >= least) | (F.col("word") == F.lit(b""))).collect()  # at most max_head + 1
     head = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["n"] + 0.5) / mass) for r in head_rows})
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_score double, score double, tail array<struct<word:binary,tf:bigint>>"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_score double, score double, tail array<struct<word:binary,tf:bigint>>, rest array<struct<gram:bigint,tf:bigint>>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm, logs = model.value, head.value
@@ -253,7 +327,12 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
         for batch, first, texts in _portions(batches, 1):
             keys, sizes = _keys(texts)
             ends = np.cumsum(sizes)
-            scores = np.add.reduceat(ppm.log10(keys), np.concatenate([[0], ends[:-1]]))
+            if isinstance(ppm, Table):
+                hit, logs_of = ppm.find(keys)
+                rest = _unscored(keys[~hit], np.repeat(np.arange(len(sizes)), sizes)[~hit], len(sizes))
+            else:
+                logs_of, rest = ppm.log10(keys), pa.nulls(len(sizes), pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int64())])))
+            scores = np.add.reduceat(logs_of, np.concatenate([[0], ends[:-1]]))
             n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
                 found = Counter(t.lower().split())
@@ -271,7 +350,7 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
                 base.append(math.fsum(sum_))
                 tails.append(tail)
             part = batch.slice(first, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(x, pa.int64()) for x in (n_tokens, n_known)], pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pair)], names=["doc_id", "held_out", "n_tokens", "head_known", "head_score", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(x, pa.int64()) for x in (n_tokens, n_known)], pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pair), rest], names=["doc_id", "held_out", "n_tokens", "head_known", "head_score", "score", "tail", "rest"])
 
     rows = stored(slim.select("doc_id", "text", "held_out").mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = words.where(F.col("n") < least)
@@ -279,8 +358,14 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
     tail = tail.join(rare, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = tail.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(F.lit(0))).alias("tail_known"), F.sum(F.col("tf") * F.log10((c + 0.5) / F.lit(mass))).alias("tail_score"))
-    out = rows.drop("tail").join(sums, "row", "left")
+    out = rows.drop("tail", "rest").join(sums, "row", "left")
+    score_ = F.col("score")
+    if fit.head:
+        rest = rows.select("row", F.explode("rest").alias("t")).select("row", "t.gram", "t.tf")
+        rest = rest.join(_probabilities(rest.select("gram").distinct(), fit), "gram")
+        out = out.join(rest.groupBy("row").agg(F.sum(F.col("tf") * F.col("p")).alias("rest_score")), "row", "left")
+        score_ += F.coalesce("rest_score", F.lit(0.0))
     zero = lambda name, value: F.coalesce(F.col(name), F.lit(value))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + zero("tail_known", 0)).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("head_score") + zero("tail_score", 0.0)).alias("base_score"), "score"
+        "doc_id", "held_out", "n_tokens", (F.col("head_known") + zero("tail_known", 0)).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("head_score") + zero("tail_score", 0.0)).alias("base_score"), score_.alias("score")
     )
