@@ -49,3 +49,25 @@ def test_record_batches(spark, tmp_path):
     assert [(r["capture_channel"], r["corroborations"]) for r in store.activities().collect()] == [("post_hook", 1)]
     assert store.table("entities").count() == 2 and store.table("relations").count() == 3
     assert spark.read.parquet(str(tmp_path / "log/quarantine")).select(F.col("event_id")).collect()[0][0] == "bad"
+
+
+def test_versions_go_on_in_later_batches(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    jobs = [
+        event(1, "Buffer", [layer("INPUT", "/a.shp")], [layer("OUTPUT", "/b.shp"), layer("EXTRA", None)], second=10),
+        event(2, "Clip", [layer("INPUT", "/b.shp")], [layer("OUTPUT", "/b.shp"), layer("EXTRA", None)], second=100),
+        event(3, "Merge", [layer("INPUT", "/b.shp"), layer("INPUT", "/a.shp")], [layer("OUTPUT", "/b.shp"), layer("EXTRA", "")], second=200),
+    ]
+    for i, job in enumerate(jobs):
+        (folder / f"{i}.json").write_text(json.dumps([job]))
+        record_batches(read_channels(spark, {"post_hook": str(folder)}), str(tmp_path / "log"), str(tmp_path / "ck"), {"availableNow": True}).awaitTermination(120)
+    store = LogStore(spark, str(tmp_path / "log"))
+    entities = {r["id"]: (r["file_path"] or None, r["content_version"]) for r in store.table("entities").collect()}
+    assert sorted(entities.values(), key=str) == sorted([("/a.shp", 1), ("/b.shp", 1), ("/b.shp", 2), ("/b.shp", 3), (None, 1), (None, 1), (None, 1)], key=str)
+    names = {r["id"]: r["algorithm_name"] for r in store.table("activities").collect()}
+    relations = store.table("relations").collect()
+    made = sorted((names[r["target_id"]], entities[r["source_id"]]) for r in relations if r["relation_type"] == "wasGeneratedBy" and entities[r["source_id"]][0])
+    used = sorted((names[r["source_id"]], entities[r["target_id"]]) for r in relations if r["relation_type"] == "used")
+    assert made == [("Buffer", ("/b.shp", 1)), ("Clip", ("/b.shp", 2)), ("Merge", ("/b.shp", 3))]
+    assert used == [("Buffer", ("/a.shp", 1)), ("Clip", ("/b.shp", 1)), ("Merge", ("/a.shp", 1)), ("Merge", ("/b.shp", 2))]

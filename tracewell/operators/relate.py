@@ -40,17 +40,17 @@ def new_agents(agents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def references(events: DataFrame) -> DataFrame:
-    """One row for each dataset that a recorded event read or wrote, in order: seq, ref (a number in order of arrival), writing, place, layer.*"""
-    reads = events.select("seq", F.posexplode("inputs").alias("place", "layer")).withColumn("writing", F.lit(False))
-    writes = events.select("seq", F.posexplode("outputs").alias("place", "layer")).withColumn("writing", F.lit(True))
+    """One row for each dataset that a recorded event read or wrote, in order: seq, event_id, ref (a number in order of arrival), writing, place, layer.*"""
+    reads = events.select("seq", "event_id", F.posexplode("inputs").alias("place", "layer")).withColumn("writing", F.lit(False))
+    writes = events.select("seq", "event_id", F.posexplode("outputs").alias("place", "layer")).withColumn("writing", F.lit(True))
     both = reads.unionByName(writes)
     # up to a thousand datasets a job and direction
     ref = F.col("seq") * 2000 + F.when(F.col("writing"), 1000).otherwise(0) + F.col("place")
-    return both.select("seq", ref.cast("bigint").alias("ref"), "writing", "place", "layer.*")
+    return both.select("seq", "event_id", ref.cast("bigint").alias("ref"), "writing", "place", "layer.*")
 
 
-def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables of the log for events. probes: (path, size_bytes, mtime_us) of files that can be read now."""
+def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of the log for events. probes: (path, size_bytes, mtime_us) of files that can be read now; known: latest_versions() of the log so far."""
     # what follows reads decisions and references several times, so both are stored
     decided = stored(decide(events, arrival), "record-decided")
     kept = decided.where("recorded").withColumn("activity_id", S.derived_id(F.lit("activity"), "event_id"))
@@ -66,9 +66,11 @@ def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | No
         refs = refs.withColumns({"size_bytes": F.lit(None).cast("bigint"), "mtime_us": F.lit(None).cast("bigint")})
     else:
         refs = refs.join(probes.select("path", "size_bytes", "mtime_us"), "path", "left")
-    versions = assign_versions(refs, path="path", arrival="ref", ident="ref", writing="writing", size="size_bytes", mtime="mtime_us")
+    versions = assign_versions(refs, path="path", arrival="ref", ident="ref", writing="writing", size="size_bytes", mtime="mtime_us", known=known)
     refs = refs.join(versions.withColumnRenamed("id", "ref"), "ref")
-    refs = refs.withColumn("entity_id", F.when(F.col("path").isNull(), S.derived_id(F.lit("entity"), F.lit("ref"), "ref")).otherwise(S.derived_id(F.lit("entity"), "path", "version")))
+    # without a path, the event and the place in it tell a dataset from those of all other batches
+    alone = S.derived_id(F.lit("entity"), F.lit("place"), "event_id", F.when(F.col("writing"), "output").otherwise("input"), F.coalesce("param", F.lit("")), "place")
+    refs = refs.withColumn("entity_id", F.when(F.coalesce("path", F.lit("")) == "", alone).otherwise(S.derived_id(F.lit("entity"), "path", "version")))
     refs = stored(refs.join(kept.select("seq", "activity_id", "start_ts"), "seq"), "record-references")
     facts = F.struct("feature_count", "band_count", "pixel_size", "width", "height", "size_bytes", "mtime_us")
     entities = refs.where("fresh").select(

@@ -115,10 +115,11 @@ def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict
     """Start the query that records a stream of events into the log at path.
 
     A batch is one commit, keyed by its number, so a retried batch adds nothing. Repeats are recognised against the runs of
-    their groups that are on record. Rows that can't be recorded go to `quarantine` with their reasons.
+    their groups that are on record, and versions of a path go on from the latest on record. Rows that can't be recorded go to `quarantine` with their reasons.
     """
     from tracewell.operators.normalize import event_keys
     from tracewell.operators.relate import record
+    from tracewell.operators.versions import latest_versions
     from tracewell.sources.events import quarantine
     from tracewell.sources.store import LogStore
 
@@ -135,7 +136,7 @@ def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict
             hits = keyed.alias("e").join(known.alias("k"), (F.col("e.dedup_group") == F.col("k.dedup_group")) & (start >= F.col("k.started_at") - margin) & (start <= F.col("k.ended_at") + margin))
             again = hits.groupBy(F.col("e.event_id").alias("event_id")).agg(F.min_by(F.col("k.activity_id"), F.col("k.started_at")).alias("activity_id"), F.first("e.source").alias("source"), F.first(start).alias("seen_at"))
             fresh = keyed.join(again.select("event_id"), "event_id", "left_anti")
-            made = record(fresh)
+            made = record(fresh, known=latest_versions(store.table("entities")))
             made["agents"] = made["agents"].join(store.table("agents").select("env_fingerprint"), "env_fingerprint", "left_anti")
             made["entities"] = made["entities"].join(store.table("entities").select("id"), "id", "left_anti")
             made["sightings"] = made["sightings"].unionByName(again.select("activity_id", "event_id", "source", "seen_at"))
