@@ -61,6 +61,17 @@ def test_record(spark, events):
     assert made["relations"].select("id").distinct().count() == 14
 
 
+def test_record_jobs_with_many_datasets(spark, tmp_path):
+    tiles = [layer("INPUT", f"/t/{i}.tif") for i in range(1002)]
+    parts = [layer("OUTPUT", f"/p/{i}.tif") for i in range(1002)]
+    rows = [event(1, "Merge", tiles, [layer("OUTPUT", "/m.tif"), layer("OUTPUT", None)], second=10), event(2, "Split", [layer("INPUT", "/m.tif"), layer("INPUT", None)], parts, second=50), event(3, "Clip", [layer("INPUT", "/p/1.tif"), layer("INPUT", None)], [layer("OUTPUT", "/m.tif")], second=90)]
+    (tmp_path / "e.json").write_text(json.dumps(rows))
+    made = record(read_events(spark, str(tmp_path / "e.json")).withColumn("n", F.substring("event_id", 2, 9).cast("bigint")), arrival="n")
+    paths = sorted((r["file_path"] or "", r["content_version"]) for r in made["entities"].collect())
+    assert paths == sorted([(x["path"], 1) for x in tiles + parts] + [("/m.tif", 1), ("/m.tif", 2), ("", 1), ("", 1), ("", 1)])
+    assert len(made["relations"].collect()) == 1002 + 2 + 2 + 1002 + 2 + 1 + 3
+
+
 def test_graph_and_groups(spark, events):
     made = record(events)
     links = grouping.session_datasets(made["activities"], made["relations"], made["entities"])

@@ -40,13 +40,11 @@ def new_agents(agents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def references(events: DataFrame) -> DataFrame:
-    """One row for each dataset that a recorded event read or wrote, in order: seq, event_id, ref (a number in order of arrival), writing, place, layer.*"""
+    """One row for each dataset that a recorded event read or wrote, in order: seq, event_id, ref (orders by arrival, reads before writes), writing, place, layer.*"""
     reads = events.select("seq", "event_id", F.posexplode("inputs").alias("place", "layer")).withColumn("writing", F.lit(False))
     writes = events.select("seq", "event_id", F.posexplode("outputs").alias("place", "layer")).withColumn("writing", F.lit(True))
     both = reads.unionByName(writes)
-    # up to a thousand datasets a job and direction
-    ref = F.col("seq") * 2000 + F.when(F.col("writing"), 1000).otherwise(0) + F.col("place")
-    return both.select("seq", "event_id", ref.cast("bigint").alias("ref"), "writing", "place", "layer.*")
+    return both.select("seq", "event_id", F.struct("seq", "writing", "place").alias("ref"), "writing", "place", "layer.*")
 
 
 def record(events: DataFrame, arrival: str | None = None, probes: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:

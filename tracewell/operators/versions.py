@@ -26,20 +26,20 @@ def latest_versions(entities: DataFrame) -> DataFrame:
 
 
 def assign_versions(df: DataFrame, *, path: str, arrival: str, ident: str, writing: str, size: str, mtime: str, known: DataFrame | None = None) -> DataFrame:
-    """(id bigint, version int, fresh boolean) of each reference to a dataset, in arrival order within its path.
+    """(id, version int, fresh boolean) of each reference to a dataset, in arrival order within its path.
 
     Without a path every reference is a dataset of its own, version 1. A first reference is version 1. If the file was probed now and then,
     the version moves when the probes differ; otherwise writing moves it and reading doesn't. known: latest_versions() of what is on
     record, from which its paths go on. A path's references are one array, so this suits paths with up to some hundred thousand references.
     """
-    slim = df.select(F.col(path).alias("p"), F.col(arrival).alias("a"), F.col(ident).cast("bigint").alias("id"), F.col(writing).alias("writing"), F.col(size).cast("bigint").alias("size"), F.col(mtime).cast("bigint").alias("mtime"))
+    slim = df.select(F.col(path).alias("p"), F.col(arrival).alias("a"), F.col(ident).alias("id"), F.col(writing).alias("writing"), F.col(size).cast("bigint").alias("size"), F.col(mtime).cast("bigint").alias("mtime"))
     named = slim.where(F.col("p").isNotNull() & (F.col("p") != ""))
     rows = named.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("a", "id", "writing", "size", "mtime"))).alias("rows"))
     if known is None:
         rows = rows.withColumns({"version": F.lit(0), "size": F.lit(None).cast("bigint"), "mtime": F.lit(None).cast("bigint")})
     else:
         rows = rows.join(known.select(F.col("path").alias("p"), "version", F.col("size_bytes").alias("size"), F.col("mtime_us").alias("mtime")), "p", "left").withColumn("version", F.coalesce("version", F.lit(0)))
-    start = F.struct("version", "size", "mtime", F.array().cast("array<struct<id:bigint,version:int,fresh:boolean>>").alias("out"))
+    start = F.struct("version", "size", "mtime", F.array().cast(f"array<struct<id:{dict(slim.dtypes)['id']},version:int,fresh:boolean>>").alias("out"))
     out = rows.select(F.explode(F.aggregate("rows", start, _step, lambda acc: acc["out"])).alias("x"))
     alone = slim.where(F.col("p").isNull() | (F.col("p") == "")).select("id", F.lit(1).alias("version"), F.lit(True).alias("fresh"))
     return out.select("x.id", "x.version", "x.fresh").unionAll(alone)
