@@ -235,3 +235,23 @@ def test_files(spark, tmp_path):
     assert sizes == {"a.txt": 5, "b.txt": 100}
     out = {r["path"].rpartition("/")[2]: (r["hash_value"], r["hash_strategy"]) for r in hash_files(spark, str(tmp_path), limit_bytes=50).collect()}
     assert out["a.txt"] == (hashlib.sha256(b"hello").hexdigest(), "file") and out["b.txt"][1] == "schema_sample"
+
+
+def test_large_files_are_hashed_by_content(spark, tmp_path):
+    import hashlib
+    import os
+
+    from tracewell.sources.files import hash_files
+
+    body = bytes(range(256)) * 20_000
+    (tmp_path / "large file.bin").write_bytes(body)
+    os.utime(tmp_path / "large file.bin", (1000, 1000))
+    hashes = lambda **kw: [tuple(r)[2:] for r in hash_files(spark, str(tmp_path), **kw).collect()]
+    assert hashes() == hashes(stream_bytes=50) == [(hashlib.sha256(body).hexdigest(), "file", None)]
+    sampled = hashes(limit_bytes=50)
+    os.utime(tmp_path / "large file.bin", (2000, 2000))
+    assert hashes(limit_bytes=50) == sampled and sampled[0][1] == "schema_sample" and sampled[0][2]
+    (tmp_path / "large file.bin").write_bytes(body[:-1] + b"x")  # same size and time
+    os.utime(tmp_path / "large file.bin", (2000, 2000))
+    assert hashes(limit_bytes=50) != sampled
+    assert hashes(stream_bytes=50)[0][0] == hashlib.sha256(body[:-1] + b"x").hexdigest()
