@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from pathlib import Path
 
@@ -41,6 +42,31 @@ def test_export(spark):
     assert catalog.prov_export(spark, DATA).count() == 1
 
 
+def test_export_of_every_workflow(spark, con):
+    documents = catalog.prov_export_all(spark, DATA).collect()
+    got = {r["session_id"]: json.loads(r["document"]) for r in documents}
+    orders, lines = con.sql("SELECT o_orderkey, o_custkey FROM orders").fetchall(), con.sql("SELECT DISTINCT l_orderkey, l_partkey, l_linestatus, l_returnflag FROM lineitem").fetchall()
+    customer = dict(orders)
+    assert len(customer) == len(orders) and len(documents) == len(got) and set(got) == set(customer.values()) and len(got) > 1
+    want = {c: {"activity": set(), "entity": set(), "used": set(), "wasGeneratedBy": set()} for c in got}
+    for o, c in orders:
+        want[c]["activity"].add(f"log:a{o}")
+    for o, p, status, flag in lines:
+        if o in customer:
+            one = want[customer[o]]
+            one["entity"].add(f"log:e{p}")
+            if status == "F":
+                one["used"].add((f"log:a{o}", f"log:e{p}", "overlay" if flag == "R" else "input"))
+            else:
+                one["wasGeneratedBy"].add((f"log:e{p}", f"log:a{o}", "output"))
+    ends = {"used": ("prov:activity", "prov:entity"), "wasGeneratedBy": ("prov:entity", "prov:activity")}
+    for c, doc in got.items():
+        assert set(doc["activity"]) == want[c]["activity"] and set(doc["entity"]) == want[c]["entity"] and set(doc["agent"]) == {"log:agent"}
+        for kind, (a, b) in ends.items():
+            rows = [(x[a], x[b], x["prov:role"]) for x in doc[kind].values()]
+            assert len(rows) == len(set(rows)) and set(rows) == want[c][kind]
+
+
 def test_entry_imports():
     import __spark_entry__
 

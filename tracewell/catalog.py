@@ -476,6 +476,23 @@ def prov_export(spark: SparkSession, d: str) -> DataFrame:
     return prov_json(acts, ends, agents, stored(rel.withColumn("id", S.derived_id("relation_type", "source_id", "target_id")), "prov-relations"))
 
 
+@_query()
+def prov_export_all(spark: SparkSession, d: str) -> DataFrame:
+    """(session_id, document): PROV-JSON of every customer's orders, one document each."""
+    from tracewell.operators.export import prov_json
+
+    none = lambda t: F.lit(None).cast(t)
+    acts = B.activities(spark, d).select("session_id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"), "algorithm_id", "status", "started_at", none("timestamp").alias("ended_at"))
+    # every relation has one order at one end
+    order = F.when(F.col("relation_type") == "used", F.col("source_id")).otherwise(F.col("target_id"))
+    part = F.when(F.col("relation_type") == "used", F.col("target_id")).otherwise(F.col("source_id"))
+    rel = _named_relations(spark, d).distinct().withColumns({"order": order, "part": part}).join(acts.select("session_id", F.col("id").alias("order")), "order")
+    rel = stored(rel.withColumn("id", S.derived_id("relation_type", "source_id", "target_id", "role")), "prov-relations")
+    ends = rel.select("session_id", F.col("part").alias("id")).distinct().select("session_id", "id", F.col("id").alias("label"), none("string").alias("file_path"), F.lit(1).alias("content_version"))
+    agents = acts.select("session_id").distinct().select("session_id", F.lit("agent").alias("id"), F.lit("3.34").alias("qgis_version"))
+    return prov_json(acts, ends, agents, rel, "session_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import iso_micros
 
 
-def prov_json(activities: DataFrame, entities: DataFrame, agents: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row (document): PROV-JSON of one workflow's graph, which fits a row by nature."""
+def prov_json(activities: DataFrame, entities: DataFrame, agents: DataFrame, relations: DataFrame, key: str | None = None) -> DataFrame:
+    """One row (document): PROV-JSON of one workflow's graph, which fits a row by nature.
+
+    With key, a column of all four tables, (key, document) of each workflow that has activities; a null key is one too.
+    """
 
     def block(df: DataFrame, body: list, name: str) -> DataFrame:
         entry = F.struct(F.concat(F.lit("log:"), F.col("id")).alias("key"), F.struct(*body).alias("value"))
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+        entries = F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)
+        return df.agg(entries) if key is None else df.groupBy(F.col(key).alias(f"__{name}")).agg(entries)
+
+    def beside(doc: DataFrame, more: DataFrame, name: str) -> DataFrame:
+        if key is None:
+            return doc.crossJoin(more)  # one row each
+        none = F.create_map().cast(more.schema[name].dataType)
+        return doc.join(more, F.col("__activity").eqNullSafe(F.col(f"__{name}")), "left").withColumn(name, F.coalesce(name, none)).drop(f"__{name}")
 
     doc = block(activities, [iso_micros("started_at").alias("prov:startTime"), iso_micros("ended_at").alias("prov:endTime"), F.col("algorithm_id").alias("log:algorithm"), F.col("status").alias("log:status")], "activity")
-    doc = doc.crossJoin(block(entities, [F.col("label").alias("prov:label"), F.col("file_path").alias("log:path"), F.col("content_version").alias("log:version")], "entity"))  # one row each
-    doc = doc.crossJoin(block(agents, [F.lit("prov:SoftwareAgent").alias("prov:type"), F.col("qgis_version").alias("log:version")], "agent"))
+    doc = beside(doc, block(entities, [F.col("label").alias("prov:label"), F.col("file_path").alias("log:path"), F.col("content_version").alias("log:version")], "entity"), "entity")
+    doc = beside(doc, block(agents, [F.lit("prov:SoftwareAgent").alias("prov:type"), F.col("qgis_version").alias("log:version")], "agent"), "agent")
     ends = {"used": ("prov:activity", "prov:entity"), "wasGeneratedBy": ("prov:entity", "prov:activity"), "wasDerivedFrom": ("prov:generatedEntity", "prov:usedEntity"), "wasAssociatedWith": ("prov:activity", "prov:agent"), "wasAttributedTo": ("prov:entity", "prov:agent")}
     for kind, (a, b) in ends.items():
         body = [F.concat(F.lit("log:"), "source_id").alias(a), F.concat(F.lit("log:"), "target_id").alias(b), F.col("role").alias("prov:role")]
-        doc = doc.crossJoin(block(relations.where(F.col("relation_type") == kind), body, kind))
+        doc = beside(doc, block(relations.where(F.col("relation_type") == kind), body, kind), kind)
     prefix = F.create_map(F.lit("prov"), F.lit("http://www.w3.org/ns/prov#"), F.lit("log"), F.lit("urn:tracewell:")).alias("prefix")
-    return doc.select(F.to_json(F.struct(prefix, *doc.columns)).alias("document"))
+    document = F.to_json(F.struct(prefix, *[c for c in doc.columns if c != "__activity"])).alias("document")
+    return doc.select(document) if key is None else doc.select(F.col("__activity").alias(key), document)
 
 
 def replay_plan(activities: DataFrame, members: DataFrame, workflow_id: str) -> DataFrame:
