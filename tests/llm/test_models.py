@@ -152,6 +152,44 @@ def test_search(spark, tmp_path):
     assert got[2000] == want[2000]
 
 
+def test_search_with_ids_of_many_vectors(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    near = np.ones(8) + 0.01 * rng.normal(size=(400, 8))
+    rows = [(0, [1.0] * 8)] + [(1 + i % 2, v.tolist()) for i, v in enumerate(near)] + [(10 + i, (0.5 * rng.normal(size=8)).tolist()) for i in range(200) if (10 + i) % 20]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    got = [(r["vec_id"], r["score"]) for r in ann_graph.nearest(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") == 0).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -math.inf), sum(v))
+    want = sorted(best, key=lambda i: (-best[i], i))[:20]
+    assert len(got) == 20 and [i for i, _ in got][:2] == want[:2] and len({i for i, _ in got} & set(want)) >= 19
+    assert all(math.isclose(s, best[i], rel_tol=1e-12) for i, s in got)
+
+
+def test_back_edges_are_all_considered(monkeypatch):
+    """Nothing that overflows a node is dropped unseen."""
+    seen = set()
+    prune = ann_graph.robust_prune
+
+    def watched(data, nodes, candidates, degree, alpha):
+        seen.update((int(x), int(c)) for x, row in zip(nodes, candidates) for c in row if c >= 0)
+        return prune(data, nodes, candidates, degree, alpha)
+
+    monkeypatch.setattr(ann_graph, "robust_prune", watched)
+    rng = np.random.default_rng(2)
+    # spokes about a hub: all of a batch point back to it
+    data = np.concatenate([np.zeros((1, 32)), 10 * np.eye(32)[rng.integers(0, 32, 1500)] + rng.normal(size=(1500, 32))]).astype(np.float32)
+    edges, entry = ann_graph.build(data, 4, 16, 1.15)
+    got = {c for x, c in seen if x == entry}
+    assert len(got) > 4 * 4
+    reach, todo = {entry}, [entry]
+    while todo:
+        new = {int(c) for x in todo for c in edges[x] if c >= 0} - reach
+        reach |= new
+        todo = list(new)
+    assert len(reach) == len(data)
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert ann_graph.nearest(df, F.col("vec_id") % 20 == 0).count() == 0

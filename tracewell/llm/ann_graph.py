@@ -3,7 +3,7 @@
 Equal vectors are one node that keeps its smallest ids, as many as an answer can hold. Nodes are dealt to shards by hash. In each shard
 nodes are inserted in batches: a greedy beam search over the graph so far proposes neighbours, and relaxed distance pruning keeps
 an edge only if no kept neighbour is nearer to its end by the factor `alpha`, so that edges point in diverse directions.
-Targets get edges back and are pruned again when they have too many. Queries search every shard by beam search, in blocks; what the
+Targets get edges back and are pruned again when they have too many; nodes that end up beyond reach get an edge from a neighbour. Queries search every shard by beam search, in blocks; what the
 beams hold is scored in double precision on the original vectors and merged a query.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm of the shard; queries have 0 there.
@@ -149,9 +149,40 @@ def build(data: np.ndarray, degree: int, width: int, alpha: float, seed: int = 7
         packed = np.take_along_axis(both, np.argsort(both < 0, 1, kind="stable"), 1)
         edges[who[few], : min(degree, packed.shape[1])] = packed[few, :degree]
         for i in range(0, int((~few).sum()), 1000):
-            w = who[~few][i : i + 1000]
-            edges[w] = robust_prune(data, w, packed[~few][i : i + 1000, : 4 * degree], degree, alpha)
-    return edges, entry
+            w, rows = who[~few][i : i + 1000], packed[~few][i : i + 1000]
+            kept = robust_prune(data, w, rows[:, : 4 * degree], degree, alpha)
+            for j in range(4 * degree, most + degree, 3 * degree):  # the rest in blocks, against what is kept so far
+                more = np.flatnonzero(rows[:, j] >= 0)
+                if not len(more):
+                    break
+                kept[more] = robust_prune(data, w[more], np.concatenate([kept[more], rows[more, j : j + 3 * degree]], 1), degree, alpha)
+            edges[w] = kept
+    return connected(edges, entry), entry
+
+
+def connected(edges: np.ndarray, entry: int) -> np.ndarray:
+    """edges, and for each node that none of them leads to, one from a reached neighbour of it; columns are added where a row is full."""
+    used = (edges >= 0).sum(1)
+    seen = np.zeros(len(edges), bool)
+    seen[entry] = True
+    new = np.array([entry])
+    while True:
+        while len(new):
+            new = np.unique(edges[new])
+            new = new[new >= 0]
+            new = new[~seen[new]]
+            seen[new] = True
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return edges
+        ties = [(u, near[used[near].argmin()]) for u in lost if len(near := edges[u][(edges[u] >= 0) & seen[edges[u]]])] or [(lost[0], entry)]
+        for u, v in ties:
+            if used[v] == edges.shape[1]:
+                edges = np.concatenate([edges, np.full((len(edges), 1), -1, np.int64)], 1)
+            edges[v, used[v]] = u
+            used[v] += 1
+        new = np.array([u for u, _ in ties])
+        seen[new] = True
 
 
 def usable(vector: Column) -> Column:
@@ -211,13 +242,24 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, *, width: int = 160, b
         parts = []
         for i in range(0, len(wanted), 256):
             q, own = wanted[i : i + 256], query_ids[i : i + 256]
-            found, _ = beam_search(data, edges, np.array([g["entry"]]), q.astype(np.float32), max(width, k + 1), by_distance=False)
-            for j, nodes in enumerate(found):
-                nodes = nodes[nodes >= 0]
-                scores = vectors[nodes] @ q[j]
-                hits = [(s, v) for s, node in zip(scores.tolist(), nodes.tolist()) for v in g["ids"][node] if v != own[j]]
-                hits.sort(key=lambda h: (-h[0], h[1]))
-                parts += [(int(own[j]), v, s) for s, v in hits[:k]]
+            open_, beam = np.arange(len(q)), max(width, k + 1)
+            while len(open_):
+                found, _ = beam_search(data, edges, np.array([g["entry"]]), q[open_].astype(np.float32), beam, by_distance=False)
+                short = []
+                for j, nodes in zip(open_.tolist(), found):
+                    full = nodes[-1] >= 0
+                    nodes = nodes[nodes >= 0]
+                    scores = vectors[nodes] @ q[j]
+                    hits = [(s, v) for s, node in zip(scores.tolist(), nodes.tolist()) for v in g["ids"][node] if v != own[j]]
+                    hits.sort(key=lambda h: (-h[0], h[1]))
+                    best: dict[int, float] = {}
+                    for s, v in hits:
+                        best.setdefault(v, s)
+                    if len(best) < k and full and beam < g["n"]:  # a few ids with many vectors fill the beam
+                        short.append(j)
+                        continue
+                    parts += [(int(own[j]), v, s) for v, s in list(best.items())[:k]]
+                open_, beam = np.array(short, np.int64), min(4 * beam, g["n"])
         if not parts:
             return none
         a, b, c = zip(*parts)
