@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of our own only where none is set and the driver does all the work, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -31,10 +33,24 @@ def drop_stored(spark: SparkSession) -> int:
     return n
 
 
+#: Bytes of what a step reads for each file that it writes. With fewer than twice as many files as the session has cores, cores would idle.
+BYTES_A_FILE = 1 << 23
+
+
+def _files(df: DataFrame) -> int:
+    """Files that df is written to at most: small tables in hundreds of them cost more to write, commit and list than to compute."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(read // BYTES_A_FILE, (1 << 31) - 1))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Tasks that write take several of df's partitions, one after the other, if those are many for the bytes that df comes from.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.coalesce(_files(df)).write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
