@@ -24,9 +24,40 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Rows numbered by partition and place. Stable as long as df is a scan of stored files, which all callers pass."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+#: Files up to which their numbers are broadcast: some 30 MB. Rows of more files are stored with their numbers.
+MAX_FILES = 100_000
+_PLACE_BITS = 40
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Does every row of df stand for one row of a file? Then the file and the place in it name the row."""
+    plan = [df._jdf.queryExecution().analyzed()]
+    for node in plan:
+        kind = node.getClass().getSimpleName()
+        if kind not in _PLAIN or kind == "LogicalRelation" and not node.toString().rstrip().endswith("parquet"):
+            return False
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return "_metadata" not in (c.lower() for c in df.columns)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """(rid bigint, doc struct of all columns of df): rows under numbers that stay the same however often and by however many tasks df is read.
+
+    In a scan of files a row's number is that of its file, by path, and its place in it, whatever splits the files are read in. Rows that
+    come from elsewhere, or from more than MAX_FILES files, are stored once together with their numbers.
+    """
+    doc = F.struct(*df.columns).alias("doc")
+    if _is_scan(df):
+        paths = df.select(F.col("_metadata.file_path").alias("path")).distinct().limit(MAX_FILES + 1).toArrow().column("path").to_pylist()
+        if len(paths) <= MAX_FILES:
+            place = F.col("_metadata.row_index")
+            if len(paths) <= 1:
+                return df.select(place.alias("rid"), doc)
+            files = df.sparkSession.createDataFrame([(p, i << _PLACE_BITS) for i, p in enumerate(sorted(paths))], "path string, first bigint")
+            rows = df.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), doc)
+            return rows.join(F.broadcast(files), "path").select((F.col("first") + F.col("place")).alias("rid"), "doc")
+    return stored(df.select(F.monotonically_increasing_id().alias("rid"), doc), "numbered")
 
 
 def text_or_empty(name: str) -> Column:

@@ -1,6 +1,6 @@
 """MinHash near-dedup: a chosen-path set similarity join.
 
-Documents are sets of word shingles. Equal sets are one node. `TREES` independent trees branch recursively: each tree node picks
+Documents are sets of word shingles. Documents with the same words in the same order, told by a 128-bit digest, are one node. `TREES` independent trees branch recursively: each tree node picks
 one or two of the minwise coordinates by its own hash, and a set goes to the child named by its token there. A node of at most
 `LEAF` sets is compared exhaustively; larger ones branch on, down to `DEPTH`. Two sets of similarity 0.8 stay together on one branch
 of a level with probability 0.84 or more (one coordinate for three of four nodes, two for the fourth), so that with typical leaf depths of two
@@ -10,16 +10,18 @@ a pair at exactly 0.8 is missed with probability 5.9e-5 where leaves lie at dept
 
 Comparison is by estimate first, by full sets then. Within every node each set is compared to the node's smallest member;
 these star edges, once confirmed, give labels. Other pairs are confirmed only if their labels differ, so a large group of
-near copies costs one confirmation a member rather than all pairs. In nodes that are still large at the last depth, sets that
-don't carry the label of the node's smallest member are compared to all members, in blocks.
+near copies costs one confirmation a member rather than all pairs. The stars of a set with very many edges are confirmed in many tasks.
+In nodes that are still large at the last depth, sets that don't carry the label of the node's smallest member are compared to all
+members, in blocks of bounded size, by their shingles' hashes; what links there is then confirmed on full sets like the others.
 
 Nulls and edge cases: null, empty or blank texts have no set, link with nothing and stay; fewer words than a shingle are a set of one; rows
 with equal sets are linked whatever their ids; null ids never name a component that has another id; repeated rows are in
-one component; an empty table gives an empty result; texts are taken whole; extra columns are ignored.
+one component; an empty table gives an empty result; texts are taken whole, very long ones in overlapping portions; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import lower_words, mix64, stored
+from tracewell.llm.common import lower_words, mix64, numbered, stored
 from tracewell.plans.components import connected_components
 
 COORDINATES = 96
@@ -36,6 +38,8 @@ LEAF = 64
 DEPTH = 4
 _PORTION = 1 << 20  # bytes hashed at a time
 _OTHERS, _MEMBERS = 512, 512  # sets of a block on either side
+_BLOCK = 1 << 20  # shingles of a block on either side: 8 MB
+_STAR = 256  # edges of a set that are confirmed in one task
 _FILTER = 4_194_301  # places of the membership filter: a prime, half a megabyte of bits at any input size
 
 _SPACE = np.zeros(256, bool)
@@ -92,39 +96,64 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, text -> rid, doc_id, n, k1, k2, tokens, sketch (a byte a token).
+def set_of(words: bytes, width: int) -> np.ndarray:
+    """shingle_hashes() of one text whose words are parted by single spaces, a portion at a time: portions overlap by width - 1 words."""
+    parts, at = [], 0
+    while len(words) - at > 2 * _PORTION:
+        end = words.find(b" ", at + _PORTION)
+        if end < 0:
+            break
+        parts.append(shingle_hashes([words[at:end]], width)[0])
+        back = end
+        for _ in range(width - 1):
+            back = words.rfind(b" ", at, back)
+        if back <= at:  # words longer than a portion
+            return shingle_hashes([words], width)[0]
+        at = back + 1
+    last = shingle_hashes([words[at:]], width)[0]
+    return np.unique(np.concatenate([*parts, last])) if parts else last
+
+
+def _set_portions(texts: pa.Array, width: int) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """(words parted by spaces, shingle hashes) of texts, some at a time."""
+    held: list[bytes] = []
+    size = 0
+    for value in texts:
+        words = b" ".join(lower_words(value.as_py() or ""))
+        if len(words) > 2 * _PORTION:
+            if held:
+                yield held, shingle_hashes(held, width)
+            yield [words], [set_of(words, width)]
+            held, size = [], 0
+            continue
+        held.append(words)
+        size += len(words)
+        if size >= _PORTION:
+            yield held, shingle_hashes(held, width)
+            held, size = [], 0
+    if held:
+        yield held, shingle_hashes(held, width)
+
+
+_ROWS = "rid bigint, doc_id bigint, n bigint, key binary, tokens binary, sketch binary"
 
-    (n, k1, k2) names the set: its size, the sum and the exclusive or of its hashes.
-    """
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """rid, doc_id, text -> rid, doc_id, n, key, tokens, sketch (a byte a token). The key is a digest of the words in their order."""
+    kinds = [*[pa.int64()] * 3, *[pa.binary()] * 3]
     for batch in batches:
-        rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        rows: list[tuple] = []
-        texts: list[bytes] = []
-        size = 0
-
-        def flush() -> None:
-            for h in shingle_hashes(texts, width):
-                i = len(rows)
+        at = 0
+        for words, sets in _set_portions(batch.column(2), width):
+            rows: list[tuple] = []
+            for w, h in zip(words, sets):
                 if len(h):
-                    k1, k2 = int(h.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ _BASE)).view(np.int64))
                     tokens = minwise(h)
-                    rows.append((rids[i], ids[i], len(h), k1, k2, tokens.tobytes(), (tokens & np.uint32(255)).astype(np.uint8).tobytes()))
+                    rows.append((len(h), hashlib.blake2b(w, digest_size=16).digest(), tokens.tobytes(), (tokens & np.uint32(255)).astype(np.uint8).tobytes()))
                 else:
-                    rows.append((rids[i], ids[i], 0, None, None, None, None))
-            texts.clear()
-
-        for value in batch.column(2):
-            texts.append((value.as_py() or "").encode("utf-8", "surrogatepass").lower())
-            size += len(texts[-1])
-            if size >= _PORTION:
-                flush()
-                size = 0
-        if texts:
-            flush()
-        if rows:
-            kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rid", "doc_id", "n", "k1", "k2", "tokens", "sketch"])
+                    rows.append((0, None, None, None))
+            part = batch.slice(at, len(rows))
+            at += len(rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds[2:])]], names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
 # ---------------------------------------------------------------------------------------------- the trees
@@ -278,20 +307,44 @@ def _membership(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _members(ids: DataFrame):  # noqa: ANN202
+    """A function that keeps the rows of a batch whose first column may be among ids."""
+    bits = ids.sparkSession.sparkContext.broadcast(_membership(ids))
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place = np.mod(batch.column(0).to_numpy(), _FILTER)
+        return batch.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+
+    return keep
+
+
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of texts (s, text) whose s may be among ids."""
-    bits = ids.sparkSession.sparkContext.broadcast(_membership(ids))
+    keep = _members(ids)
+    return texts.mapInArrow(lambda batches: map(keep, batches), "s bigint, text string")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.mod(batch.column(0).to_numpy(), _FILTER)
-            yield batch.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
 
-    return texts.mapInArrow(members, "s bigint, text string")
+def _hashes_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(s, hashes) of the rows of texts (s, text) whose s may be among ids."""
+    keep = _members(ids)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(keep, batches):
+            at = 0
+            for _, sets in _set_portions(batch.column(1), width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([h.tobytes() for h in sets], pa.binary())], names=["s", "hashes"])
+                at += len(sets)
+
+    return texts.mapInArrow(task, "s bigint, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets share `percent` of their union. texts: (s, text)."""
+    """The pairs (a, b) whose full sets share `percent` of their union. texts: (s, text).
+
+    The smaller end of a star has many edges. It comes last, so that its text meets rows that carry the other end's, and with over
+    _STAR edges its text is sent once for each _STAR of them, to as many tasks.
+    """
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in batches:
@@ -304,10 +357,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, nam
                 keep.append(100 * both >= percent * (len(own) + len(held) - both) and bool(both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = _texts_of(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))), texts)
-    # the smaller end of a star has many edges: it comes last, so that its text meets rows that carry the other end's
-    both = pairs.select("a", "b").join(some.select(F.col("s").alias("b"), F.col("text").alias("x")), "b")
-    both = both.join(some.select(F.col("s").alias("a"), F.col("text").alias("y")), "a").select(F.col("b").alias("p"), F.col("a").alias("q"), "x", "y")
+    some = stored(_texts_of(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))), texts), f"{name}-texts")
+    shares = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR).cast("int").alias("shares")), f"{name}-shares")
+    many = shares.where("shares > 1")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+    ends = shares.join(some, shares["a"] == some["s"]).select("a", F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = dealt.join(some.select(F.col("s").alias("b"), F.col("text").alias("x")), "b")
+    both = both.join(ends, ["a", "share"]).select(F.col("b").alias("p"), F.col("a").alias("q"), "x", "y")
     return stored(both.mapInArrow(check, "a bigint, b bigint"), name)
 
 
@@ -321,7 +377,8 @@ def _large_links(large: DataFrame, sketches: DataFrame, labels: DataFrame, texts
 
     A set that lacks the label of a node's smallest member is compared to all that have it, and to the others that lack it, once
     for each label whatever the number of nodes. Both sides are dealt into blocks by hash; a task holds one block of each and tells at
-    most one link of a set with each label, which is all that components need.
+    most one link of a set with each label, which is all that components need. Sets travel as sorted hashes of their shingles, and a block
+    holds at most about _OTHERS or _MEMBERS sets and _BLOCK hashes, so a task's memory depends on neither the node nor its texts.
     """
     least = _agree(similarity)
     rows = _labelled(large, labels, "s", "l")
@@ -330,13 +387,14 @@ def _large_links(large: DataFrame, sketches: DataFrame, labels: DataFrame, texts
     owns = others.select("own").distinct()
     members = labels.join(owns, F.col("component") == F.col("own")).select("own", F.col("node").alias("s")).unionAll(owns.select("own", F.col("own").alias("s")))
     every = members.withColumn("other", F.lit(0)).unionAll(others.withColumn("other", F.lit(1))).groupBy("own", "s").agg(F.max("other").alias("other"))
-    every = stored(every, "near-large-members")
-    sizes = every.groupBy("own").agg(F.ceil(F.sum("other") / _OTHERS).cast("int").alias("blocks"), F.ceil(F.count("*") / _MEMBERS).cast("int").alias("chunks"))
-    full = _labelled(every, labels, "s", "l").join(sizes, "own").join(sketches, "s").join(_texts_of(every.select("s"), texts), "s")
+    every = stored(_labelled(every, labels, "s", "l").join(sketches, "s"), "near-large-members")
+    blocks = lambda count, n, sets: F.ceil(F.greatest(F.sum(count) / F.lit(sets), F.sum(F.col(count) * F.col(n)) / F.lit(_BLOCK))).cast("int")
+    sizes = every.withColumn("one", F.lit(1)).groupBy("own").agg(blocks("other", "n", _OTHERS).alias("blocks"), blocks("one", "n", _MEMBERS).alias("chunks"))
+    full = every.join(sizes, "own").join(_hashes_of(every.select("s"), texts, width), "s")
     right = full.withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = full.where(F.col("other") == 1).withColumn("block", F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
-    columns = ["own", "block", "chunk", "s", "n", "l", "sketch", "other", "text"]
+    columns = ["own", "block", "chunk", "s", "n", "l", "sketch", "other", "hashes"]
 
     def task(some: pa.Table, all_: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -345,38 +403,33 @@ def _large_links(large: DataFrame, sketches: DataFrame, labels: DataFrame, texts
             (x, nx, lx), (y, ny, ly) = ([t.column(c).to_numpy() for c in ("s", "n", "l")] for t in (some, all_))
             kx, ky = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES) for t in (some, all_))
             twice = all_.column("other").to_numpy() == 1  # such pairs come up on both sides
-            tx, ty, held = some.column("text"), all_.column("text"), {}
+            set_at = lambda t, i: np.frombuffer(t.column("hashes")[i].as_buffer(), np.uint64)
             for i in range(len(x)):
                 near = ((kx[i] == ky).sum(1) >= least) & (ly != lx[i]) & (np.minimum(nx[i], ny) >= similarity * np.maximum(nx[i], ny)) & ~(twice & (y <= x[i]))
-                own, told = None, set()
-                places = np.flatnonzero(near)
+                places, told = np.flatnonzero(near), set()
                 for j in places[np.argsort(-(kx[i] == ky[places]).sum(1), kind="stable")].tolist():
                     if ly[j] in told:
                         continue
-                    own = shingles(tx[i].as_py(), width) if own is None else own
-                    if j not in held:
-                        held[j] = shingles(ty[j].as_py(), width)
-                    both = len(own & held[j])
-                    if 100 * both >= percent * (len(own) + len(held[j]) - both):
+                    both = len(np.intersect1d(set_at(some, i), set_at(all_, j), assume_unique=True))
+                    if 100 * both >= percent * (nx[i] + ny[j] - both):
                         told.add(ly[j])
                         found.append((min(x[i], y[j]), max(x[i], y[j])))
         return pa.table({"a": pa.array([int(f[0]) for f in found], pa.int64()), "b": pa.array([int(f[1]) for f in found], pa.int64())})
 
     a, b = left.select(*columns).toDF(*[f"x_{c}" for c in columns]), right.select(*columns)
     met = a.groupBy("x_own", "x_block", "x_chunk").cogroup(b.groupBy("own", "block", "chunk"))
-    return stored(met.applyInArrow(task, "a bigint, b bigint"), "near-large-links")
+    wide = stored(met.applyInArrow(task, "a bigint, b bigint").distinct(), "near-large-pairs")
+    return _confirmed(wide, texts, percent, width, "near-large-links")
 
 
-def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
-    """Per row: rid (its place), doc_id, n_shingles, s (its set, null if empty), root (the component's smallest set), component_id, kept."""
+def _link(rows_: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rows_: (rid, doc_id, text), the same whenever it is read."""
     similarity = percent / 100
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(numbered.mapInArrow(lambda batches: _sets(batches, shingle), "rid bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, tokens binary, sketch binary"), "near-rows")
+    rows = stored(rows_.select("rid", "doc_id", "text").mapInArrow(lambda batches: _sets(batches, shingle), _ROWS), "near-rows")
     full = rows.where(F.col("n") > 0)
-    key = ["n", "k1", "k2"]
-    first = full.groupBy(*key).agg(F.min("rid").alias("s"), F.min("doc_id").alias("id"), F.min_by(F.struct("tokens", "sketch"), "rid").alias("t"))
-    sets = stored(first.select(*key, "s", "id", "t.tokens", "t.sketch"), "near-sets")
-    nodes, sketch = sets.select(*key, "s", "id"), sets.select("s", "n", "sketch")
+    first = full.groupBy("key").agg(F.min("rid").alias("s"), F.min("doc_id").alias("id"), F.min_by(F.struct("n", "tokens", "sketch"), "rid").alias("t"))
+    sets = stored(first.select("key", "s", "id", "t.n", "t.tokens", "t.sketch"), "near-sets")
+    nodes, sketch = sets.select("key", "s", "id"), sets.select("s", "n", "sketch")
     leaves, large = _trees(sets)
     leaf_rows = leaves.join(sketch, "s").select("node", "s", "n", "sketch").repartition("node").sortWithinPartitions("node")
     pairs = leaf_rows.mapInArrow(_leaf_pairs(similarity), _PAIR)
@@ -386,8 +439,8 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     end = lambda c, x: sketch.select(F.col("s").alias(c), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     star = star.join(end("a", "a"), "a").join(end("b", "b"), "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_candidates(similarity), _PAIR)
     pairs = stored(pairs.unionAll(star).groupBy("a", "b").agg(F.max("star").alias("star")), "near-pairs")
-    texts = numbered.select(F.col("rid").alias("s"), "text")
-    stars = _confirmed(pairs.where("star"), texts, percent, shingle, "near-stars")
+    texts = rows_.select(F.col("rid").alias("s"), "text")
+    stars = _confirmed(pairs.where("star").select("a", "b"), texts, percent, shingle, "near-stars")
     labels = stored(connected_components(stars), "near-labels")
     rest = pairs.where(~F.col("star")).select("a", "b")
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b")
@@ -396,19 +449,24 @@ def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle
     roots = connected_components(stars.unionAll(links).unionAll(wide))
     rooted = _labelled(nodes, roots, "s", "root")
     names = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "near-components")
-    named = rooted.join(names, "root").select(*[F.col(c).alias(f"__{c}") for c in key], "s", "root", "component_id")
-    slim = rows.select("rid", "doc_id", *key)
-    same = [F.col(c) == F.col(f"__{c}") for c in key]
-    out = slim.join(named, same[0] & same[1] & same[2], "left")
+    named = rooted.join(names, "root").select(F.col("key").alias("__key"), "s", "root", "component_id")
+    out = rows.select("rid", "doc_id", "n", "key").join(named, F.col("key") == F.col("__key"), "left")
     component: Column = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), "s", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def link(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
+    """Per row: rid (its number), doc_id, n_shingles, s (its set, null if empty), root (the component's smallest set), component_id, kept."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return _link(numbered(slim).select("rid", "doc.doc_id", "doc.text"), shingle, percent)
+
+
 def keep_one(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shingle: int = 2, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id, the first of those. Rows without a set stay."""
-    found = stored(link(docs, text=text, id_col=id_col, shingle=shingle, percent=percent), "near-found")
+    rows = numbered(docs)
+    column = lambda name: F.col("doc").getField(docs.columns[[c.lower() for c in docs.columns].index(name.lower())])
+    found = stored(_link(rows.select("rid", column(id_col).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text")), shingle, percent), "near-found")
     grouped = found.where(F.col("root").isNotNull())
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias("rid"))
     stay = first.unionAll(found.where(F.col("root").isNull()).select("rid"))
-    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    return numbered.join(stay, "rid", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return rows.join(stay, "rid", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
