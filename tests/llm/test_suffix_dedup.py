@@ -25,10 +25,10 @@ def brute(texts, length=D.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [D.HOT, 1])
-def test_same_as_all_windows(docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(D, "HOT", hot)
-    got = Counter(tuple(r) for r in D.dedup(docs).collect())
+@pytest.mark.parametrize("hot, flood", [(D.HOT, D.FLOOD), (1, D.FLOOD), (1, 2)])
+def test_same_as_all_windows(docs, rows, hot, flood):
+    """Keys sorted whole, dealt out by distance, and by window give the same."""
+    got = Counter(tuple(r) for r in D.dedup(docs, hot=hot, flood=flood).collect())
     assert got == Counter((doc, *x) for (doc, _), x in zip(rows, brute([t for _, t in rows])))
 
 
@@ -70,3 +70,17 @@ def test_segments_cover_all_windows():
         D._CHUNK = old
     assert all((a == b).all() for a, b in zip(again, (key, start, n, twice)))
     assert D.segments_of(b"xy" * 300)[3].any()
+
+
+def test_common_passage_and_long_texts(spark, tmp_path):
+    """A passage in a third of the rows between different words, a text that repeats it, and a very long text, over all three ways to deal a key."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join([word() for _ in range(40)] + ([passage] if i % 3 == 0 else []) + [word() for _ in range(40)])) for i in range(240)]
+    rows += [(900, (passage + " ") * 3), (901, " ".join(word() for _ in range(60_000)) + passage), (902, "z" * 300_000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    want = Counter((doc, *x) for (doc, _), x in zip(rows, brute([t for _, t in rows])))
+    for hot, flood in ((D.HOT, D.FLOOD), (20, D.FLOOD), (5, 30)):
+        assert Counter(tuple(r) for r in D.dedup(df, hot=hot, flood=flood).collect()) == want

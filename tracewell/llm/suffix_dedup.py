@@ -3,18 +3,19 @@
 Equal windows of LENGTH bytes hold the same smallest k-mer hash, so texts are cut where that hash changes: a segment is a
 maximal run of window starts that share it, and all windows equal to one of its own lie in segments of the same key. Then
 
-1. `_segments` finds segments, and sends key and content hash of each, once a portion of text if it repeats within the portion;
-2. `_meet` brings equal keys together. Copies of a whole segment are settled there. Where a key has segments that differ, one
-   of each kind is asked for;
-3. `_contents` cuts those out of the texts. Keys with very many different segments (a passage that a large share of documents holds, with
-   different surroundings) are cut into single windows instead, which meet by their own hash, spread over all tasks;
+1. `_segments` finds segments, and sends key and content digest of each, once a portion of text if it repeats within the portion;
+2. `_meet` reads them in order of key and digest. Copies of a whole segment are settled there: a digest of 128 bits (BLAKE2) stands in for
+   their bytes. Where a key has segments that differ, one of each kind is asked for;
+3. `_contents` cuts those out of the texts. A key with over HOT different segments (a passage that many documents hold, with different
+   surroundings) is dealt out by the distance from a window's start to the k-mer, _NEAR distances at a time: equal windows have equal
+   distances. A key with over FLOOD of them is dealt out window by window, so no task has to hold what a common passage gathers;
 4. `_sorted_windows` sorts the window suffixes of each key: a mergesort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes. Neighbours that share LENGTH bytes by hash are verified byte by byte;
 5. spans are merged per document and cut out.
 
 Nulls and edge cases: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows are documents of their own, so
-both lose what they share; null and repeated ids are fine, since rows are told apart by place; overlapping matches count; an
-empty table gives an empty result; extra columns are ignored.
+both lose what they share; null and repeated ids are fine, since rows are told apart by file and place; overlapping matches count; very
+long texts are hashed a chunk at a time; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +29,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import mix64, stored
+from tracewell.llm.common import mix64, numbered, stored
 
 LENGTH = 200
 KMER = 64
 _CHUNK = 1 << 17  # bytes hashed at a time: arrays of 1 MB, which stay in cache
 _PORTION = 1 << 22  # bytes after which segments leave a task
 _GROUPS = 1 << 20  # bytes of segments sorted at a time
-HOT = 2048  # different segments of one key from which windows meet on their own
+HOT = 512  # different segments of one key from which it is dealt out by distance
+FLOOD = 1 << 16  # from which it is dealt out by window
+_NEAR = 8  # distances dealt together
+_PIECES = 40_000  # pieces of dealt keys that a task holds to find copies
 
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = np.uint64(0x9FB21C651E98DF25)
-_FOUND = "kind tinyint, key bigint, h bigint, rid bigint, start int, n int, many boolean, twice boolean"
-SPAN, ASK, ASK_HOT, SEGMENT = 1, 2, 3, 0
+_FOUND = "kind tinyint, key bigint, h bigint, h2 bigint, rid bigint, start int, n int, many boolean, twice boolean"
+SEGMENT, SPAN, ASK = 0, 1, 2  # ASK + 0, 1 or 2: whole, dealt out by distance, by window
 
 
 def kmer_hashes(data: np.ndarray, k: int = KMER) -> np.ndarray:
@@ -89,19 +93,24 @@ def segments_of(body: bytes, length: int = LENGTH, k: int = KMER) -> tuple[np.nd
     return key, start, n, twice
 
 
-def _rows(kind, key, h, rid, start, n, many, twice=False) -> pa.RecordBatch:  # noqa: ANN001
-    size = len(key)
+def _rows(kind, key, h, h2, rid, start, n, many, twice=False) -> pa.RecordBatch:  # noqa: ANN001
+    size = len(rid)
     fill = lambda x, t: np.full(size, x, t) if np.isscalar(x) else np.asarray(x).astype(t, copy=False)
-    columns = [fill(kind, np.int8), fill(key, np.int64), fill(h, np.int64), fill(rid, np.int64), fill(start, np.int32), fill(n, np.int32), fill(many, bool), fill(twice, bool)]
+    columns = [fill(kind, np.int8), *[fill(x, np.int64) for x in (key, h, h2, rid)], fill(start, np.int32), fill(n, np.int32), fill(many, bool), fill(twice, bool)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
-def _collapse(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first places of runs of equal (key, h) in that order, run of each place)."""
-    order = np.lexsort((h, key))
-    k, c = key[order], h[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
+def _spans(rid, start, n) -> pa.RecordBatch:  # noqa: ANN001
+    return _rows(SPAN, 0, 0, 0, rid, start, n, True)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Is a row different from the one before it?"""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +118,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, h, rid, start, n, twice = (np.concatenate(x) for x in zip(*parts))
-        order, first, run = _collapse(key, h)
+        key, h, h2, rid, start, n, twice = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.lexsort((h2, h, key))
+        key, h, h2, rid, start, n, twice = (x[order] for x in (key, h, h2, rid, start, n, twice))
+        new = _changes(key, h, h2)
+        first, run = np.flatnonzero(new), np.cumsum(new) - 1
         many = np.bincount(run, minlength=len(first)) > 1
-        key, h, rid, start, n, twice = (x[order] for x in (key, h, rid, start, n, twice))
-        yield _rows(SEGMENT, key[first].view(np.int64), h[first].view(np.int64), rid[first], start[first], n[first], many, twice[first])
+        yield _rows(SEGMENT, *(x[first].view(np.int64) for x in (key, h, h2)), rid[first], start[first], n[first], many, twice[first])
         again = many[run]
         if again.any():
-            yield _rows(SPAN, np.zeros(again.sum()), 0, rid[again], start[again], n[again], True)
-        parts.clear()
+            yield _spans(rid[again], start[again], n[again])
 
     for batch in batches:
         for rid, text in zip(batch.column(0).to_numpy(), batch.column(1)):
@@ -126,8 +137,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key, start, n, twice = segments_of(body)
             view = memoryview(body)
-            h = np.array([xxhash.xxh3_64_intdigest(view[a : a + b]) for a, b in zip(start.tolist(), (n + (LENGTH - 1)).tolist())], np.uint64)
-            parts.append((key, h, np.full(len(key), rid), start, n, twice))
+            digests = b"".join([hashlib.blake2b(view[a : a + b], digest_size=16).digest() for a, b in zip(start.tolist(), (n + (LENGTH - 1)).tolist())])
+            h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+            parts.append((key, h[:, 0], h[:, 1], np.full(len(key), rid), start, n, twice))
             size += len(body)
             if size >= _PORTION:
                 yield from flush()
@@ -136,71 +148,163 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of a key are in the partition."""
-    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    rows = pa.concat_tables(parts)
-    key, h, rid, start, n, many, twice = (rows.column(c).to_numpy() for c in ("key", "h", "rid", "start", "n", "many", "twice"))
-    order, first, run = _collapse(key, h)
-    key, h, rid, start, n, many, twice = (x[order] for x in (key, h, rid, start, n, many, twice))
-    known = (np.bincount(run, minlength=len(first)) > 1) | (np.bincount(run, many, len(first)) > 0)
-    span = known[run] & ~many  # the portion that saw several has told already
-    if span.any():
-        yield _rows(SPAN, np.zeros(span.sum()), 0, rid[span], start[span], n[span], True)
-    # kinds of segments under a key
-    k = key[first]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    group = np.cumsum(new) - 1
-    kinds = np.bincount(group)
-    unknown = np.bincount(group, ~known, len(kinds)) > 0
-    # a lone segment can repeat its own windows, as periodic text does
-    ask = ((kinds > 1) & unknown)[group] | (twice[first] & ~known)
-    if ask.any():
-        f = first[ask]
-        hot = kinds[group[ask]] > HOT
-        yield _rows(np.where(hot, ASK_HOT, ASK), key[f], h[f], rid[f], start[f], n[f], known[ask])
-
-
-_CONTENT = "key bigint, rid bigint, start int, n int, known boolean, body binary"
+class _Kinds:
+    """Different segments in order of key, waiting for the rest of their key. What is held is bounded: a flooded key is passed on at once."""
+
+    def __init__(self, hot: int, flood: int) -> None:
+        self.hot, self.flood = hot, flood
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.flooded = 0, None
+
+    def add(self, kinds: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """kinds: key, h, h2, rid, start, n, known, twice."""
+        if self.flooded is not None:
+            same = kinds[0] == self.flooded
+            if same.any():
+                yield self._ask(2, tuple(x[same] for x in kinds))
+                kinds = tuple(x[~same] for x in kinds)
+        if len(kinds[0]):
+            self.held.append(kinds)
+            self.size += len(kinds[0])
+            if self.size >= 20_000:
+                yield from self.settle(last=False)
+
+    def settle(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Decide keys that are complete: all, or all but the one that was last seen."""
+        if not self.held:
+            return
+        kinds = tuple(np.concatenate(x) for x in zip(*self.held))
+        key = kinds[0]
+        end = len(key) if last else int(np.flatnonzero(_changes(key))[-1])
+        rest = tuple(x[end:] for x in kinds)
+        self.held, self.size = [rest] if len(rest[0]) else [], len(rest[0])
+        if self.size > self.flood:
+            self.flooded = rest[0][0]
+            yield self._ask(2, rest)
+            self.held, self.size = [], 0
+        if not end:
+            return
+        kinds = tuple(x[:end] for x in kinds)
+        key, known, twice = kinds[0], kinds[6], kinds[7]
+        group = np.cumsum(_changes(key)) - 1
+        count = np.bincount(group)
+        unknown = np.bincount(group, ~known, len(count)) > 0
+        # a lone segment can repeat its own windows, as periodic text does
+        ask = ((count > 1) & unknown)[group] | (twice & ~known)
+        tier = (count > self.hot).astype(np.int8) + (count > self.flood)
+        if ask.any():
+            yield self._ask(tier[group[ask]], tuple(x[ask] for x in kinds))
+
+    @staticmethod
+    def _ask(tier, kinds: tuple[np.ndarray, ...]) -> pa.RecordBatch:  # noqa: ANN001
+        return _rows(ASK + tier, *kinds)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], hot: int, flood: int) -> Iterator[pa.RecordBatch]:
+    """Segments in order of key, h, h2; all of a key are in the partition. Rows are passed over once, and only the last one is carried on."""
+    kinds, open_ = _Kinds(hot, flood), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "h", "h2", "rid", "start", "n", "many", "twice")]
+        if open_ is not None:
+            columns = [np.concatenate(x) for x in zip(open_, columns)]
+        key, h, h2, rid, start, n, many, twice = columns
+        new = _changes(key, h, h2)
+        first, run = np.flatnonzero(new), np.cumsum(new) - 1
+        known = (np.bincount(run) > 1) | (np.bincount(run, many) > 0)
+        span = known[run] & ~many  # the portion that saw several has told already
+        if span.any():
+            yield _spans(rid[span], start[span], n[span])
+        found = [x[first] for x in (key, h, h2, rid, start, n)] + [known, twice[first]]
+        open_ = tuple(x[-1:] for x in found)  # known: told already
+        yield from kinds.add(tuple(x[:-1] for x in found))
+    if open_ is not None:
+        yield from kinds.add(open_)
+        yield from kinds.settle(last=True)
+
+
+_CONTENT = "key bigint, anchor bigint, rid bigint, start int, n int, known boolean, body binary"
+_CONTENT_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
 
 def _encoded(value: pa.Scalar) -> bytes:
     return (value.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _contents(place: int):  # noqa: ANN202
-    """Bytes of the segments asked for. Input: rid, doc struct with the text at `place`, asked array<struct<key, start, n, known, hot>>.
+def distances(data: np.ndarray, at: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """From each window start to the first of the anchors (places of the key's k-mer) that is not before it."""
+    if not len(anchors):
+        return np.zeros(len(at), np.int64)
+    return anchors[np.minimum(np.searchsorted(anchors, at), len(anchors) - 1)] - at
 
-    A hot segment leaves as single windows under their own hash. Those that repeat within a batch are settled here: they leave
-    as rows without bytes, under their rid, and one copy goes on, so a window reaches its key once a batch at most.
-    """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            windows: dict[bytes, list[tuple]] = {}
-            for rid, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).field(place), batch.column(2).to_pylist()):
-                body = _encoded(text)
-                for a in asked:
-                    start, n, known = a["start"], a["n"], a["known"]
-                    if a["hot"]:
-                        for s in range(start, start + n):
-                            windows.setdefault(body[s : s + LENGTH], []).append((rid, s, known))
-                    else:
-                        out.append((a["key"], rid, start, n, known, body[start : start + n + LENGTH - 1]))
-            for window, seen in windows.items():
-                key, known = xxhash.xxh3_64_intdigest(window) - (1 << 63), len(seen) > 1 or seen[0][2]
-                out.append((key, seen[0][0], seen[0][1], 1, known, window))
-                if len(seen) > 1:
-                    out += [(rid, rid, s, 1, True, None) for rid, s, told in seen if not told]
-            for i in range(0, len(out), 20_000):
-                cols = list(zip(*out[i : i + 20_000]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _CONTENT.split(", ")])
-
-    return task
+def _dealt(body: bytes, anchor: int, n: int, tier: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, windows) of the pieces of a segment that is dealt out."""
+    if tier == 2:
+        for i in range(n):
+            yield xxhash.xxh3_64_intdigest(body[i : i + LENGTH]) - (1 << 63), i, 1
+        return
+    data = np.frombuffer(body, np.uint8)
+    block = distances(data, np.arange(n), np.flatnonzero(kmer_hashes(data).view(np.int64) == anchor)) // _NEAR
+    edge = np.flatnonzero(_changes(block))
+    keys = mix64(np.array([anchor], np.int64).view(np.uint64) + (block[edge] + 1).astype(np.uint64) * _ODD).view(np.int64)
+    yield from zip(keys.tolist(), edge.tolist(), np.diff(np.append(edge, n)).tolist())
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the segments asked for. Input: rid, text, asked array<struct<key, start, n, known, tier>>.
+
+    Pieces of dealt keys that repeat among those held are settled here: they leave as rows without bytes, under their rid, neighbours
+    as one, and one copy goes on, so a piece reaches its key once in _PIECES at most.
+    """
+    out: list[tuple] = []
+    pieces: dict[tuple[int, int, bytes], list[tuple[int, int, int, bool]]] = {}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CONTENT_KINDS)], names=[x.split()[0] for x in _CONTENT.split(", ")])
+
+    def settle() -> None:
+        told = []
+        for (key, anchor, piece), seen in pieces.items():
+            rid, start, n, known = seen[0]
+            out.append((key, anchor, rid, start, n, known or len(seen) > 1, piece))
+            if len(seen) > 1:
+                told += [(rid, start, n) for rid, start, n, known in seen if not known]
+        told.sort()
+        merged: list[list[int]] = []
+        for rid, start, n in told:
+            if merged and merged[-1][0] == rid and start <= merged[-1][1] + merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], start + n - merged[-1][1])
+            else:
+                merged.append([rid, start, n])
+        out.extend((rid, 0, rid, start, n, True, None) for rid, start, n in merged)
+        pieces.clear()
+
+    size = held = 0
+    for batch in batches:
+        for rid, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            body = _encoded(text)
+            for a in asked:
+                key, start, n, known = a["key"], a["start"], a["n"], a["known"]
+                segment = body[start : start + n + LENGTH - 1]
+                if not a["tier"]:
+                    out.append((key, key, rid, start, n, known, segment))
+                    size += len(segment)
+                    continue
+                for deal, at, count in _dealt(segment, key, n, a["tier"]):
+                    pieces.setdefault((deal, key, segment[at : at + count + LENGTH - 1]), []).append((rid, start + at, count, known))
+                    held += 1
+            if held >= _PIECES:
+                settle()
+                held = 0
+            if size >= _PORTION or len(out) >= 20_000:
+                yield batch_of(out)
+                out.clear()
+                size = 0
+    settle()
+    for i in range(0, len(out), 20_000):
+        yield batch_of(out[i : i + 20_000])
 
 
 class Suffixes:
@@ -282,8 +386,11 @@ class Suffixes:
         return out
 
 
-def repeated_windows(bodies: list[bytes], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each window start of segments (bodies, grouped by key, counts windows each): does the window occur at another one of its key?"""
+def repeated_windows(bodies: list[bytes], keys: np.ndarray, counts: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """For each window start of segments (bodies, grouped by key, counts windows each): does the window occur at another one of its key?
+
+    anchor: the hash of the k-mer that all windows of the key hold.
+    """
     data = np.frombuffer(b"".join(bodies), np.uint8)
     lengths = counts + (LENGTH - 1)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -292,12 +399,8 @@ def repeated_windows(bodies: list[bytes], keys: np.ndarray, counts: np.ndarray)
     at = begin[owner] + inner
     # equal windows have their smallest k-mer at the same distance, so only such windows are compared
     h = np.concatenate([kmer_hashes(data), np.zeros(KMER - 1, np.uint64)])
-    anchors = np.flatnonzero(h == np.repeat(keys.view(np.uint64), lengths))
-    distance = np.zeros(len(at), np.int64)
-    if len(anchors):
-        nearest = np.minimum(np.searchsorted(anchors, at), len(anchors) - 1)
-        distance = anchors[nearest] - at
-        distance[(distance < 0) | (distance > LENGTH - KMER)] = 0  # windows under a hash of their own have no anchor
+    anchors = np.flatnonzero(h == np.repeat(anchor.view(np.uint64), lengths))
+    distance = distances(data, at, anchors)
     kind = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).astype(np.int64)]))
     group = kind[owner] * (LENGTH + 1) + distance
     order = np.argsort(group, kind="stable")
@@ -320,15 +423,15 @@ def repeated_windows(bodies: list[bytes], keys: np.ndarray, counts: np.ndarray)
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input (key, rid, start, n, known, body), sorted by key: spans of the windows that repeat."""
+    """Input (key, anchor, rid, start, n, known, body), sorted by key: spans of the windows that repeat."""
     held: list[tuple] = []
     told: list[tuple] = []
     size = 0
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        keys, rids, starts, counts, known, bodies = zip(*rows)
-        keys, counts, known = np.array(keys, np.int64), np.array(counts, np.int64), np.array(known, bool)
-        hit = repeated_windows(list(bodies), keys, counts)
+        keys, anchors, rids, starts, counts, known, bodies = zip(*rows)
+        keys, anchors, counts, known = np.array(keys, np.int64), np.array(anchors, np.int64), np.array(counts, np.int64), np.array(known, bool)
+        hit = repeated_windows(list(bodies), keys, counts, anchors)
         owner = np.repeat(np.arange(len(counts)), counts)
         hit &= ~known[owner]
         edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (owner[1:] != owner[:-1])]))
@@ -337,11 +440,11 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         last = np.flatnonzero(hit & np.concatenate([~hit[1:] | (owner[1:] != owner[:-1]), [True]]))
         offset = np.concatenate([[0], np.cumsum(counts)[:-1]])
         seg = owner[edge]
-        return _rows(SPAN, np.zeros(len(edge)), 0, np.array(rids, np.int64)[seg], np.array(starts, np.int64)[seg] + edge - offset[seg], last - edge + 1, True)
+        return _spans(np.array(rids, np.int64)[seg], np.array(starts, np.int64)[seg] + edge - offset[seg], last - edge + 1)
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            if row[5] is None:
+            if row[6] is None:
                 told.append(row)
                 continue
             if size >= _GROUPS and held[-1][0] != row[0]:
@@ -349,10 +452,10 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield found
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(row[6])
         if told:
-            _, rids, starts, counts, _, _ = zip(*told)
-            yield _rows(SPAN, np.zeros(len(rids)), 0, np.array(rids), np.array(starts), np.array(counts), True)
+            _, _, rids, starts, counts, _, _ = zip(*told)
+            yield _spans(np.array(rids), np.array(starts), np.array(counts))
             told.clear()
     if held and (found := flush(held)) is not None:
         yield found
@@ -375,18 +478,19 @@ def _cut(body: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """(doc struct of all columns of docs, cut array of the spans to remove or null)."""
-    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    place = [c.lower() for c in docs.columns].index(text.lower())
-    found = stored(numbered.select("rid", F.col("doc").getField(docs.columns[place]).alias("text")).mapInArrow(_segments, _FOUND), "suffix-segments")
-    met = stored(found.where(F.col("kind") == SEGMENT).repartition("key").mapInArrow(_meet, _FOUND), "suffix-met")
-    asked = met.where(F.col("kind").isin(ASK, ASK_HOT))
-    one = F.struct("key", "start", "n", F.col("many").alias("known"), (F.col("kind") == ASK_HOT).alias("hot"))
+def with_spans(docs: DataFrame, text: str, hot: int = HOT, flood: int = FLOOD) -> DataFrame:
+    """(doc struct of all columns of docs, cut array of the spans to remove or null). hot, flood: see HOT and FLOOD; the result is the same."""
+    rows = numbered(docs)
+    body = F.col("doc").getField(docs.columns[[c.lower() for c in docs.columns].index(text.lower())])
+    found = stored(rows.select("rid", body.alias("text")).mapInArrow(_segments, _FOUND), "suffix-segments")
+    segments = found.where(F.col("kind") == SEGMENT).repartition("key").sortWithinPartitions("key", "h", "h2")
+    met = stored(segments.mapInArrow(lambda batches: _meet(batches, hot, flood), _FOUND), "suffix-met")
+    asked = met.where(F.col("kind") >= ASK)
+    one = F.struct("key", "start", "n", F.col("many").alias("known"), (F.col("kind") - ASK).alias("tier"))
     asked = asked.groupBy("rid").agg(F.collect_list(one).alias("asked"))  # at most one a segment of the document
     # both joins read the same exchange of whole documents, which is made once
-    dealt = numbered.repartition("rid")
-    content = dealt.join(asked.hint("shuffle_hash"), "rid").select("rid", "doc", "asked").mapInArrow(_contents(place), _CONTENT)
+    dealt = rows.repartition("rid")
+    content = dealt.join(asked.hint("shuffle_hash"), "rid").select("rid", body.alias("text"), "asked").mapInArrow(_contents, _CONTENT)
     more = content.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_windows, _FOUND)
     slim = lambda x: x.where(F.col("kind") == SPAN).select("rid", "start", "n")
     cut = slim(found).unionAll(slim(met)).unionAll(slim(more))
@@ -394,7 +498,7 @@ def with_spans(docs: DataFrame, text: str) -> DataFrame:
     return dealt.join(cut.hint("shuffle_hash"), "rid", "left").select("doc", "cut")
 
 
-def dedup(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep_text: bool = False, hot: int = HOT, flood: int = FLOOD) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_bytes."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * keep_text
@@ -410,7 +514,7 @@ def dedup(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep_t
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return with_spans(slim, "text").mapInArrow(task, schema)
+    return with_spans(slim, "text", hot, flood).mapInArrow(task, schema)
 
 
 def strip(docs: DataFrame, *, text: str = "text") -> DataFrame:
