@@ -6,11 +6,12 @@ above the length". If none fits and all places are taken, the fullest bin closes
 batches, longest first within a batch, so that small pieces find the gaps that large ones leave; as many bins are open as a batch
 has pieces, since otherwise bins would close before a batch's small pieces come.
 
-Tokens are those of the `tokenizers` vocabulary file; they are made by the byte-pair merger of `tiktoken` from the same
-vocabulary (tests hold both against each other).
+Tokens are those of the `tokenizers` vocabulary file. The byte-pair merger of `tiktoken` makes them from the same file, in a quarter of the
+time (tests hold both against each other); texts with runs that its pattern can't pass, such as a million spaces, are encoded by `tokenizers` itself.
 
 Nulls and edge cases: a null or empty text is the closing id alone; a null id is passed on; documents longer than a sequence are cut, the
-remainder first; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
+remainder first; very long texts are encoded whole; repeated rows are packed each; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,13 +49,20 @@ class Encoder:
         alphabet = bytes_of_alphabet()
         special = {x["content"]: x["id"] for x in model["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.special = list(special)
+        self.special, self.vocabulary, self.slow = list(special), vocabulary, None
         self.bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> bytes:
         # the vocabulary's own special tokens are recognised in texts, as the tokenizer file has it
         allowed = "all" if any(s in text for s in self.special) else set()
-        return self.bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # a run that the pattern can't pass
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.vocabulary)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
