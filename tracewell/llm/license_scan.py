@@ -11,7 +11,8 @@ Templates are a short list that travels with the code; texts never leave their t
 Beside the join, `base` finds the fixed phrases word by word; its labels are always part of `labels`.
 
 Nulls and edge cases: a null or blank text has no words, labels "" and score 0; repeated rows are scanned each; long texts are
-scanned whole in linear time; an empty table gives an empty result; extra columns are ignored.
+scanned whole, each place once a phrase and once a template that may be there; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,9 +58,11 @@ def base(words: list[bytes]) -> list[tuple[int, str]]:
     line = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in PHRASES:
-        needle, at = b" " + phrase.encode() + b" ", -1
-        while (at := line.find(needle, at + 1)) >= 0:
-            found.append((line.count(b" ", 0, at), label))
+        needle, at, word = b" " + phrase.encode() + b" ", 0, 0
+        while (next_ := line.find(needle, at)) >= 0:
+            word += line.count(b" ", at, next_)
+            found.append((word, label))
+            at, word = next_ + 1, word + 1
     return found
 
 
