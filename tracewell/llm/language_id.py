@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Per language, texts of a bounded sample of labelled documents make a raw-content dictionary for zstandard. A text is lowered and
+Per language, the texts of a bounded sample of labelled documents, each whole, make a raw-content dictionary for zstandard. A text is lowered and
 compressed whole against each dictionary, and the language of the smallest result is chosen: its dictionary held most of the
 text's strings. Where the two best are close, as for a few words, matches alone say little: the text is then compressed
 behind pieces of each dictionary, whose letters shape the entropy codes, and counts by how much it lengthens them. A result whose
@@ -8,7 +8,8 @@ relative margin is under `margin` both times is marked as not confident, and `id
 
 Nulls and edge cases: a null text or one without letters is `und` with score 0; rows with null language or id outside the
 training part never train; without any training text all rows are `und`; equal sizes go to the first language by code point;
-repeated rows are answered alike; very long texts are compressed whole; extra columns are ignored.
+repeated rows are answered alike; very long texts are compressed whole, and join a dictionary only where a language has too few others; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +30,22 @@ UNKNOWN = "und"
 _LETTER = re.compile("[A-Za-z]")
 
 
-def sample(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_language: int = 240, chars_per_doc: int = 1500) -> dict[str, bytes]:
-    """One dictionary a language: excerpts of the docs_per_language training documents with the smallest hash. Only these reach the driver."""
+def sample(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_language: int = 120, usual_chars: int = 10_000, languages: int = 256) -> dict[str, bytes]:
+    """One dictionary a language, of whole training texts. Only these reach the driver.
+
+    They are the docs_per_language documents with the smallest hash among those of up to usual_chars characters; longer ones come after
+    them, so they serve where a language has too few others. The `languages` with the most training rows are learned.
+    """
+    body = F.col(text).cast("string")
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.substring(F.col(text).cast("string"), 1, chars_per_doc).alias("t"), F.xxhash64(F.col(id_col), F.col(text)).alias("h"))
-    best = Window.partitionBy("lang").orderBy("h", "t")  # Spark limits each group before it shuffles
-    chosen = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= docs_per_language).collect()
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), body.alias("t"), F.xxhash64(F.col(id_col), body).alias("h"), (F.length(body) > usual_chars).alias("long"))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    best = Window.partitionBy("lang").orderBy("long", "h")  # Spark limits each group before it shuffles
+    places = rows.join(F.broadcast(most), "lang").select("lang", "h", "long").withColumn("r", F.dense_rank().over(best)).where(F.col("r") <= docs_per_language).select("lang", "h", "r").distinct()
+    # docs_per_language * languages rows at most; copies of a row are one
+    chosen = rows.select("lang", "h", "t").join(F.broadcast(places), ["lang", "h"]).groupBy("lang", "h", "r").agg(F.min("t").alias("t")).collect()
     parts: dict[str, list] = {}
-    for r in sorted(chosen, key=lambda r: (r["lang"], -r["r"])):
+    for r in sorted(chosen, key=lambda r: (r["lang"], -r["r"], r["t"])):
         parts.setdefault(r["lang"], []).append(r["t"].lower().encode("utf-8", "surrogatepass"))
     return {k: b"\n".join(v) for k, v in parts.items() if any(v)}
 
