@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph a shard.
 
-Equal vectors are one node that keeps its smallest ids, as many as an answer can hold. Nodes are dealt to shards by hash. In each shard
+Equal vectors are one node that keeps its smallest ids, as many as an answer can hold. Nodes are dealt to shards by the power of two
+under their norm, then by hash. In each shard
 nodes are inserted in batches: a greedy beam search over the graph so far proposes neighbours, and relaxed distance pruning keeps
 an edge only if no kept neighbour is nearer to its end by the factor `alpha`, so that edges point in diverse directions.
 Targets get edges back and are pruned again when they have too many; nodes that end up beyond reach get an edge from a neighbour. Queries search every shard by beam search, in blocks; what the
 beams hold is scored in double precision on the original vectors and merged a query.
 
-Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm of the shard; queries have 0 there.
+Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm of the shard; queries have 0 there. Norms of a
+shard differ by less than a factor of two, and graphs are built and searched over vectors scaled by a power of two, in single precision, so a few
+very large vectors neither swamp the others' distances nor overflow. Answers are scored on the original vectors in double precision.
 All searches of a batch advance together, as array operations.
 
 Recall is measured against brute force in the tests (0.9 is asked for; see the README for figures).
 
 Nulls and edge cases: rows whose id or vector is null, whose vector is empty, all zero or holds a null or non-finite number,
 neither ask nor answer; vectors of different lengths never meet; repeated rows count once; ties go to the smaller id; a query with
-fewer candidates than asked for gets them all; an empty table gives an empty result; extra columns are ignored.
+fewer candidates than asked for gets them all; products beyond double precision are infinite, as arithmetic has it; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql.window import Window
 
 from tracewell.llm.common import stored
 
-GRAPH = "dim int, shard int, n int, ids array<array<bigint>>, vectors binary, edges binary, entry int"
+GRAPH = "dim int, band int, shard int, n int, ids array<array<bigint>>, vectors binary, edges binary, entry int"
 HITS = "query_id bigint, vec_id bigint, score double"
 
 
@@ -190,14 +194,29 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def band(vector: Column) -> Column:
+    """The power of two at or under the norm: the largest component is scaled out first, so nothing overflows."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    rest = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / largest) * (x / largest)))
+    return F.floor(F.log2(largest) + F.log2(rest)).cast("int")
+
+
+def scaled(rows: np.ndarray, power: np.ndarray | int) -> np.ndarray:
+    """rows times 2^-power, in single precision; in two steps, since the factor alone may be beyond double precision."""
+    power = np.asarray(power)
+    half = power // 2
+    column = (lambda e: e) if not power.ndim else (lambda e: e[:, None])
+    return np.ldexp(np.ldexp(rows, -column(half)), -column(power - half)).astype(np.float32)
+
+
 def index(rows: DataFrame, k: int, *, shard_rows: int = 16_384, degree: int = 32, width: int = 64, alpha: float = 1.15) -> DataFrame:
-    """Graphs of (vec_id, embedding array<double>), one row a shard."""
+    """Graphs of (vec_id, embedding array<double>), one row a shard. A shard holds about shard_rows vectors and is built in one task's memory."""
     rows = rows.dropDuplicates(["vec_id", "embedding"])
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))  # limited before the shuffle
     nodes = rows.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = stored(nodes.withColumn("dim", F.size("embedding")), "ann-nodes")
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    nodes = nodes.join(F.broadcast(sizes), "dim")  # a row a vector length
+    nodes = stored(nodes.withColumns({"dim": F.size("embedding"), "band": band(F.col("embedding"))}), "ann-nodes")
+    sizes = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    nodes = nodes.join(F.broadcast(sizes), ["dim", "band"])  # a row a vector length and power of two, of which there are 2,100
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")).drop("shards")
 
     def task(shard: pa.Table) -> pa.Table:
@@ -206,27 +225,28 @@ def index(rows: DataFrame, k: int, *, shard_rows: int = 16_384, degree: int = 32
         ids = shard.column("ids").combine_chunks()
         order = np.argsort([x[0].as_py() for x in ids], kind="stable")
         flat, ids = flat[order], ids.take(pa.array(order))
-        norms = (flat**2).sum(1)
-        data = np.concatenate([flat, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], 1).astype(np.float32)
-        edges, entry = build(data, degree, width, alpha)
+        power = shard.column("band")[0].as_py()
+        near = np.ldexp(np.ldexp(flat, -(power // 2)), -(power - power // 2))
+        norms = (near**2).sum(1)
+        edges, entry = build(np.concatenate([near, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], 1).astype(np.float32), degree, width, alpha)
         return pa.table(
             {
-                "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(flat)], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))),
+                "dim": pa.array([dim], pa.int32()), "band": pa.array([power], pa.int32()), "shard": pa.array([shard.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(flat)], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))),
                 "vectors": pa.array([flat.tobytes()], pa.binary()), "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()), "entry": pa.array([entry], pa.int32()),
             }
         )
 
-    return stored(nodes.groupBy("dim", "shard").applyInArrow(task, GRAPH), "ann-graphs")
+    return stored(nodes.groupBy("dim", "band", "shard").applyInArrow(task, GRAPH), "ann-graphs")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, *, width: int = 160, block_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) of (vec_id, embedding array<double>) queries against all graphs."""
     queries = queries.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding"))
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # a row a vector length
-    shards = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
+    shards = graphs.groupBy("dim", F.col("band").alias("power")).agg(F.max("shard").alias("last"))
     dealt = queries.join(F.broadcast(blocks), "dim").join(F.broadcast(shards), "dim")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    dealt = dealt.select("dim", "shard", "block", F.col("vec_id").alias("query_id"), "embedding")
+    dealt = dealt.select("dim", F.col("power").alias("band"), "shard", "block", F.col("vec_id").alias("query_id"), "embedding")
     spread = graphs.join(F.broadcast(blocks), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def task(graph: pa.Table, asked: pa.Table) -> pa.Table:
@@ -236,20 +256,22 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, *, width: int = 160, b
         g = {c: graph.column(c)[0].as_py() for c in graph.column_names}
         vectors = np.frombuffer(g["vectors"], np.float64).reshape(-1, g["dim"])
         edges = np.frombuffer(g["edges"], np.int32).reshape(g["n"], -1).astype(np.int64)
-        data = vectors.astype(np.float32)
+        data = scaled(vectors, g["band"])
         query_ids = np.asarray(asked.column("query_id"))
         wanted = np.asarray(asked.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, g["dim"])
         parts = []
         for i in range(0, len(wanted), 256):
             q, own = wanted[i : i + 256], query_ids[i : i + 256]
+            small = scaled(q, np.frexp(np.abs(q).max(1))[1])  # a positive factor leaves a query's order as it is
             open_, beam = np.arange(len(q)), max(width, k + 1)
             while len(open_):
-                found, _ = beam_search(data, edges, np.array([g["entry"]]), q[open_].astype(np.float32), beam, by_distance=False)
+                found, _ = beam_search(data, edges, np.array([g["entry"]]), small[open_], beam, by_distance=False)
                 short = []
                 for j, nodes in zip(open_.tolist(), found):
                     full = nodes[-1] >= 0
                     nodes = nodes[nodes >= 0]
-                    scores = vectors[nodes] @ q[j]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = vectors[nodes] @ q[j]
                     hits = [(s, v) for s, node in zip(scores.tolist(), nodes.tolist()) for v in g["ids"][node] if v != own[j]]
                     hits.sort(key=lambda h: (-h[0], h[1]))
                     best: dict[int, float] = {}
@@ -265,7 +287,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, *, width: int = 160, b
         a, b, c = zip(*parts)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    hits = spread.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInArrow(task, HITS)
+    hits = spread.groupBy("dim", "band", "shard", "block").cogroup(dealt.groupBy("dim", "band", "shard", "block")).applyInArrow(task, HITS)
     # an id that occurs with several vectors answers once, by its best
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
