@@ -13,8 +13,8 @@ Words are treated alike: those above a count threshold, at most max_head of them
 joined in Spark. None of what is joined is frequent enough in training texts to make a hot key.
 
 Nulls and edge cases: a null or empty text is its end symbol; without training documents the model is uniform and the base
-counts are 0 (a score of 0 per token when N + 0.5 (V + 1) is all the mass there is); repeated rows are counted and scored each;
-extra columns are ignored.
+counts are 0 (a score of 0 per token when N + 0.5 (V + 1) is all the mass there is); repeated rows are counted and scored each; a very
+long text is counted and scored a portion of symbols at a time; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from tracewell.llm.common import crc_rest, mix64, stored
 ORDER = 4
 PAD, END = 0xFE, 0xFF  # no byte of UTF-8 text
 SYMBOLS = 255  # what can follow: all bytes but PAD, with END
-_STEP = 1 << 19  # bytes counted or scored at a time: arrays of 4 MB
+_STEP = 1 << 19  # symbols counted or scored at a time: arrays of 4 MB
 
 
 # ------------------------------------------------------------------------------------------------ tables
@@ -125,15 +125,20 @@ class Model:
 # ------------------------------------------------------------------------------------------------ counting
 
 
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of ORDER + 1 bytes of every symbol, END included, of texts; and the number of symbols of each."""
+def _keys(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of ORDER + 1 bytes of every symbol, END included, of texts, and whose each key is; at most _STEP at a time, however long a text is."""
     pad = bytes([PAD]) * ORDER
     flat = np.frombuffer(pad + b"".join([t + bytes([END]) + pad for t in texts]), np.uint8)
-    keys = np.zeros(len(flat) - ORDER, np.uint64)
-    for i in range(ORDER + 1):
-        keys <<= np.uint64(8)
-        keys |= flat[i : len(flat) - ORDER + i]
-    return keys[flat[ORDER:] != PAD], np.array([len(t) + 1 for t in texts])
+    last = np.cumsum([len(t) + 1 + ORDER for t in texts])  # where the next text's symbols begin, counted from the first text's
+    for at in range(0, len(flat) - ORDER, _STEP):
+        part = flat[at : at + _STEP + ORDER]
+        keys = np.zeros(len(part) - ORDER, np.uint64)
+        for i in range(ORDER + 1):
+            keys <<= np.uint64(8)
+            keys |= part[i : len(part) - ORDER + i]
+        symbols = np.flatnonzero(part[ORDER:] != PAD)
+        if len(symbols):
+            yield keys[symbols], np.searchsorted(last, symbols + at, side="right")
 
 
 def _portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
@@ -175,12 +180,12 @@ def count(training: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(n)], names=["gram", "word", "n"])
 
         for _, _, texts in _portions(batches, 0):
-            keys, _ = _keys(texts)
-            grams.append(np.unique(keys, return_counts=True))
-            if len(grams) >= 32:
-                grams[:] = [_merged(grams)]
-                if len(grams[0][0]) > 2_000_000:
-                    yield gram_rows()
+            for keys, _ in _keys(texts):
+                grams.append(np.unique(keys, return_counts=True))
+                if len(grams) >= 32:
+                    grams[:] = [_merged(grams)]
+                    if len(grams[0][0]) > 2_000_000:
+                        yield gram_rows()
             for t in texts:
                 words.update(t.lower().split())
             ends += len(texts)
@@ -325,14 +330,18 @@ def score(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_gr
         end = logs.get(b"", math.log10(0.5 / mass))
         pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
         for batch, first, texts in _portions(batches, 1):
-            keys, sizes = _keys(texts)
-            ends = np.cumsum(sizes)
+            scores, left = np.zeros(len(texts)), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for keys, rows in _keys(texts):
+                if isinstance(ppm, Table):
+                    hit, logs_of = ppm.find(keys)
+                    left.append((keys[~hit], rows[~hit]))
+                else:
+                    logs_of = ppm.log10(keys)
+                scores += np.bincount(rows, logs_of, len(texts))
             if isinstance(ppm, Table):
-                hit, logs_of = ppm.find(keys)
-                rest = _unscored(keys[~hit], np.repeat(np.arange(len(sizes)), sizes)[~hit], len(sizes))
+                rest = _unscored(*(np.concatenate(x) for x in zip(*left)), len(texts))
             else:
-                logs_of, rest = ppm.log10(keys), pa.nulls(len(sizes), pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int64())])))
-            scores = np.add.reduceat(logs_of, np.concatenate([[0], ends[:-1]]))
+                rest = pa.nulls(len(texts), pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int64())])))
             n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
                 found = Counter(t.lower().split())
