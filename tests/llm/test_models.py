@@ -69,7 +69,7 @@ def test_scores(docs, rows):
 def test_model_is_a_distribution():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc é") for _ in range(300)).encode() for _ in range(20)]
-    keys, _ = lm_scoring._keys(texts)
+    keys = np.concatenate([k for k, _ in lm_scoring._keys(texts)])
     levels = [np.unique(keys & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True) for k in range(lm_scoring.ORDER + 1)]
     # a pruned trie is one too
     for least in (1, 3):
@@ -93,6 +93,26 @@ def test_scores_beyond_what_is_sent(docs):
         assert all(math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-3) for (_, a), (_, b) in zip(got, want))
 
 
+def test_keys_of_long_texts(monkeypatch):
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice((0, 1, 3, 400)))) for _ in range(40)]
+    whole = [np.concatenate(x) for x in zip(*lm_scoring._keys(texts))]
+    want = [int.from_bytes(line[i - lm_scoring.ORDER : i + 1]) for t in texts for line in [bytes([lm_scoring.PAD] * lm_scoring.ORDER) + t + bytes([lm_scoring.END])] for i in range(lm_scoring.ORDER, len(line))]
+    assert whole[0].tolist() == want and whole[1].tolist() == [i for i, t in enumerate(texts) for _ in range(len(t) + 1)]
+    for step in (1, 7, 100):
+        monkeypatch.setattr(lm_scoring, "_STEP", step)
+        assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*lm_scoring._keys(texts))))
+
+
+def test_scores_of_a_very_long_text(spark, tmp_path):
+    rows = [(1, "the same words again " * 60_000), (2, "the same words again"), (3, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("Tail", F.lit(1)).withColumn("rest", F.lit(2)).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    training = [(t or "").encode() for d, t in rows if not held(d)]
+    want = dict(zip((2, 3), ppm_loop(training, [b"the same words again", b""], lm_scoring.ORDER)))
+    assert all(math.isclose(got[d]["score"], want[d], rel_tol=1e-4, abs_tol=1e-3) for d in want) and got[1]["n_tokens"] == 240_001
+
+
 def test_table():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
@@ -152,6 +172,58 @@ def test_search(spark, tmp_path):
     assert got[2000] == want[2000]
 
 
+def recall(got, want):
+    return sum(len(set(got[q]) & set(want[q])) for q in want) / max(1, sum(map(len, want.values())))
+
+
+def exact(ids, vectors, k=20):
+    """The k nearest of every 20th id by all products, ties to the smaller id."""
+    products = vectors @ vectors.T
+    out = {}
+    for place, i in enumerate(ids):
+        if i % 20 == 0:
+            order = np.lexsort((ids, -products[place]))
+            out[int(i)] = [int(ids[j]) for j in order if j != place][:k]
+    return out
+
+
+def searched(spark, path, vectors, **options):
+    rows = [(i, v.tolist(), "x", i) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, Shard string, dim int").write.parquet(path)
+    slim = spark.read.parquet(path).select("vec_id", "embedding")
+    out = defaultdict(list)
+    for r in ann_graph.search(ann_graph.index(slim, 20, **options), slim.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    return out
+
+
+def test_recall_over_several_shards(spark, tmp_path):
+    vectors = np.random.default_rng(3).normal(size=(3000, 48))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    assert recall(searched(spark, str(tmp_path / "v"), vectors, shard_rows=700), exact(np.arange(3000), vectors)) >= 0.95
+
+
+def test_recall_with_very_large_vectors(spark, tmp_path):
+    """One vector of norm 10^4, one of 10^20, some tiny ones: the others are found as without them."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2000, 48))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[7] *= 1e4
+    vectors[11] *= 1e20
+    vectors[40] *= 1e-30
+    vectors[60:80] *= rng.uniform(0.1, 30, 20)[:, None]
+    assert recall(searched(spark, str(tmp_path / "v"), vectors), exact(np.arange(2000), vectors)) >= 0.95
+
+
+def test_recall_with_a_hot_cluster(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(2400, 32))
+    vectors[::2] = vectors[0] + 0.05 * rng.normal(size=(1200, 32))
+    vectors[::30] = vectors[0]  # and copies
+    got, want = searched(spark, str(tmp_path / "v"), vectors), exact(np.arange(2400), vectors)
+    assert recall(got, want) >= 0.9
+
+
 def test_search_with_ids_of_many_vectors(spark, tmp_path):
     rng = np.random.default_rng(8)
     near = np.ones(8) + 0.01 * rng.normal(size=(400, 8))

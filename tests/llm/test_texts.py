@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -85,6 +86,19 @@ def test_mix(docs, rows):
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, out))
 
 
+def test_copies_at_the_boundary(spark, tmp_path):
+    """A source of one row many times meets its target to a row, the same rows each time."""
+    rows = [(1, "one two three", "b", i) for i in range(900)] + [(2 + i, "w " * (1 + i % 9), "a", i) for i in range(90)] + [(None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, Size int").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    out = mixing.mix(df, weights=(5.0, 2.0)).collect()
+    taken = Counter(r["taken"] for r in out if r["source"] == "b")
+    target = next(r["target"] for r in out if r["source"] == "b")
+    assert len(taken) == 2 and 0 <= target - sum(k * n for k, n in taken.items()) < 3
+    rows_of = lambda: Counter(map(str, mixing.taken_rows(df, weights=(5.0, 2.0)).collect()))
+    assert rows_of() == rows_of() and sum(rows_of().values()) == sum(r["taken"] // r["size"] for r in out if r["size"])
+
+
 def test_threshold_is_the_largest_that_fits(spark):
     rng = random.Random(6)
     rows = [(rng.choice(("a", "b", None)), rng.randrange(1, 50), f"{rng.randrange(16**4):04x}{rng.randrange(16**11):011x}") for _ in range(800)]
@@ -147,6 +161,35 @@ def test_pack(docs, rows):
         assert at <= 256
 
 
+def test_number_of_sequences(spark, tmp_path):
+    """As few as first fit with all pieces known and sorted, but for one in a hundred; the bound by tokens holds."""
+    rng = random.Random(12)
+    rows = [(i, "a " * rng.choice((rng.randrange(1, 40), rng.randrange(40, 1500)))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    out = packing.pack(spark.read.parquet(str(tmp_path / "d")), vocabulary=public_tokenizers.path("byte_bpe_50k.json"), capacity=512).collect()
+    free: list[int] = []
+    for n in sorted((r["length"] for r in out), reverse=True):
+        at = next((i for i, f in enumerate(free) if f >= n), None)
+        if at is None:
+            free.append(512 - n)
+        else:
+            free[at] -= n
+    used = len({r["sequence_id"] for r in out})
+    assert -(-sum(r["length"] for r in out) // 512) <= used <= 1.01 * len(free)
+
+
+def test_long_texts_are_encoded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "ab " * 500_000, "x" * 20_000, "\n" * 300_000 + "end", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    lengths = Counter()
+    for r in packing.pack(spark.read.parquet(str(tmp_path / "d")), vocabulary=public_tokenizers.path("byte_bpe_50k.json")).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {i: len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_encoder_agrees_with_tokenizers():
     from tokenizers import Tokenizer
 
@@ -158,6 +201,13 @@ def test_encoder_agrees_with_tokenizers():
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
         want = b"".join(i.to_bytes(4, "little") for i in reference.encode(text, add_special_tokens=False).ids)
         assert encode(text) == want, text
+    for text in ("a   b", "b  ", "   b", " ", "", "a\t \nfoo", "a \n b", "a\n b", "x  <|endoftext|> y", "a <|endoftext|>", "\u3000 \u3000", "a \x85 b", "  \n  it's  "):
+        for spaced in (text, text + " ", " " + text, f"q {text} r", f"q\n{text}\n"):
+            assert encode(spaced) == b"".join(i.to_bytes(4, "little") for i in reference.encode(spaced, add_special_tokens=False).ids), repr(spaced)
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "a", "b'll", "\n", "\t", ".", "é", "12", "\xa0"]) for _ in range(rng.randrange(14)))
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in reference.encode(text, add_special_tokens=False).ids), repr(text)
 
 
 def test_best_fit():
@@ -201,6 +251,28 @@ def test_automaton_is_greedy_longest_match():
             assert machine.count(list(word)) == greedy(pieces, word), (pieces, word)
 
 
+def test_automaton_of_the_real_vocabulary():
+    """Pieces of whole words by longest match, over a plain set of the vocabulary's byte strings."""
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    alphabet = packing.bytes_of_alphabet()
+    pieces = set()
+    for piece in vocabulary:
+        end = piece.endswith("</w>")
+        chars = piece[:-4] if end else piece
+        if chars and all(c in alphabet for c in chars):
+            pieces.add((*(alphabet[c] for c in chars), *([token_counts.END] if end else [])))
+    machine, rng = token_counts.automaton(path), random.Random(8)
+    some = [w for w in sorted(vocabulary) if w.isascii() and w.isalpha()]
+    for _ in range(3000):
+        word = "".join(rng.choice(some) for _ in range(rng.randrange(1, 4))) + rng.choice(["", ",", "é", "42", "漢", "'s"])
+        symbols = (*word.lower().encode(), token_counts.END)
+        assert machine.count(list(symbols)) == greedy(pieces, symbols), word
+
+
 def test_count_tokens(docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = token_counts.count_tokens(docs, vocabulary=path)
@@ -236,6 +308,52 @@ def test_languages(spark, tmp_path, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def smallest(dictionaries, text, margin=0.01):
+    """Language by plain compression: each dictionary anew for each text, sizes compared in a loop."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    body, names = text.lower().encode(), sorted(dictionaries)
+
+    def size(content, data, level):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=d, write_dict_id=False, write_content_size=False, write_checksum=False).compress(data))
+
+    plain = zstandard.ZstdCompressor(level=6, write_content_size=False, write_checksum=False)
+    sizes = [size(dictionaries[k], body, 3) for k in names]
+    least, second = sorted([*sizes, math.inf])[:2]
+    if second - least < 4 or (second - least) / least < 3 * margin:
+        pieces = {k: [dictionaries[k][i * 4096 : (i + 1) * 4096] for i in range(4)] for k in names}
+        sizes = [sum(len(plain.compress(x + b"\n" + body)) - len(plain.compress(x)) for x in pieces[k]) for k in names]
+    return names[sizes.index(min(sizes))]
+
+
+def test_languages_by_brute_force(spark, tmp_path):
+    """Dictionaries and answers of the query on the driver's smallest table, against plain loops; held-out accuracy."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    long = "et voilà la belle langue " * 30_000
+    rows = [tuple(r) for r in rows] + [(10_001, long, "fr"), (10_002, None, "en"), (10_003, "123 !", "en"), (10_004, "", None), (10_004, "", None)]
+    spark.createDataFrame(rows, "DOC_ID bigint, text string, lang string").withColumn("t", F.lit(1)).withColumn("h", F.lit("x")).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    made = language_id.sample(df, ~language_id.held_out(), docs_per_language=20)
+    train = defaultdict(set)
+    for d, t, k in rows:
+        if not held(d) and k is not None and t is not None:
+            train[k].add((d, t.lower().encode()))
+    everything = language_id.sample(df, ~language_id.held_out(), docs_per_language=10_000)
+    assert set(everything) == set(made) == {k for k in train if any(t for _, t in train[k])}
+    for k, content in everything.items():
+        assert len(content) == sum(len(t) + 1 for _, t in train[k]) - 1 and all(t in content for _, t in train[k])
+        parts = {t for _, t in train[k] if t in made[k]}
+        assert long.encode() not in parts and len(made[k]) <= sum(sorted((len(t) for d, t in train[k] if t != long.encode()), reverse=True)[:20]) + 19
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, made).collect()}
+    assert got == {d: smallest(made, t) for d, t, _ in rows}
+    asked = [(d, k) for d, t, k in rows if held(d) and k is not None and got[d] != "und"]
+    assert sum(got[d] == k for d, k in asked) >= 0.9 * len(asked) > 20
+
+
 # ---------------------------------------------------------------------------------------------- licenses
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -280,6 +398,16 @@ def test_licenses(spark, tmp_path, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_many_phrases_in_one_text():
+    import time
+
+    words = license_scan.split_words("x under the MIT license, " * 200_000)
+    began = time.perf_counter()
+    found = license_scan.base(words)
+    assert time.perf_counter() - began < 5
+    assert len(found) == 200_000 and found[0] == (1, "mit") and found[-1] == (5 * 199_999 + 1, "mit")
+
+
 @pytest.mark.parametrize("name", ["op3_token_counts", "op4_packing", "op5_language_id", "op6_license_scan", "op8_mixing"])
 def test_registered(name):
     import __spark_entry__
