@@ -45,6 +45,34 @@ def test_same_as_a_loop(spark):
         assert decide(spark, rows, margin) == brute(rows, margin)
 
 
+def test_runs_in_blocks():
+    from tracewell.operators.dedup import Runs
+
+    rng = random.Random(3)
+    for block in (2, 5, 1024):
+        Runs._BLOCK = block
+        runs, plain = Runs(3), []
+        for i in range(600):
+            s = rng.randrange(4000)
+            hits = [r for r in plain if r[0] - 3 <= s <= r[2] + 3]
+            assert runs.find(s) == (min(hits)[1] if hits else None)
+            if not hits:
+                e = s + rng.choice((0, 1, 40))
+                runs.add(s, i, e)
+                plain.append((s, i, e))
+    Runs._BLOCK = 1024
+
+
+def test_one_island_that_is_never_idle(spark):
+    """Half a million sightings of one group, each within reach of the one before."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(500_000).select("id", F.lit("g").alias("g"), F.timestamp_micros(F.col("id") * 1_500_000).alias("s"), F.timestamp_micros(F.col("id") * 1_500_000 + 100_000).alias("e"))
+    out = first_wins(df, group="g", arrival="id", ident="id", start="s", end="e", margin_s=2.0)
+    # a run takes the sighting after it; the one after that starts anew
+    assert out.where("anchor <> id - id % 2").isEmpty() and out.count() == 500_000
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id bigint, anchor bigint")
     assert {r["id"]: r["corroborations"] for r in corroborations(df).collect()} == {1: 1, 3: 0}

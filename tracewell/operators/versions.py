@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _step(acc: Column, x: Column) -> Column:
-    both = x["size"].isNotNull() & x["mtime"].isNotNull() & acc["size"].isNotNull() & acc["mtime"].isNotNull()
-    changed = (x["size"] != acc["size"]) | (x["mtime"] != acc["mtime"])
-    bump = (acc["version"] == 0) | F.when(both, changed).otherwise(x["writing"])
-    version = acc["version"] + F.when(bump, 1).otherwise(0)
-    # the probe on record is that of the latest version, not of the latest look
-    probe = lambda c: F.when(bump, x[c]).otherwise(acc[c])
-    row = F.struct(x["id"].alias("id"), version.alias("version"), bump.alias("fresh"))
-    return F.struct(version.alias("version"), probe("size").alias("size"), probe("mtime").alias("mtime"), F.array_append(acc["out"], row).alias("out"))
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, a, id, writing, size, mtime, v0, s0, m0), sorted by p, a -> (id, version, fresh). The state is one version and its probe."""
+    path, version, size, mtime = None, 0, None, None
+    for batch in batches:
+        versions, fresh = [], []
+        for p, writing, s, m, v0, s0, m0 in zip(*(batch.column(c).to_pylist() for c in ("p", "writing", "size", "mtime", "v0", "s0", "m0"))):
+            if p != path:
+                path, version, size, mtime = p, v0, s0, m0
+            both = None not in (s, m, size, mtime)
+            bump = version == 0 or ((s, m) != (size, mtime) if both else writing)
+            if bump:  # the probe on record is that of the latest version, not of the latest look
+                version, size, mtime = version + 1, s, m
+            versions.append(version)
+            fresh.append(bool(bump))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(versions, pa.int32()), pa.array(fresh, pa.bool_())], names=["id", "version", "fresh"])
 
 
 def latest_versions(entities: DataFrame) -> DataFrame:
@@ -30,19 +39,19 @@ def assign_versions(df: DataFrame, *, path: str, arrival: str, ident: str, writi
 
     Without a path every reference is a dataset of its own, version 1. A first reference is version 1. If the file was probed now and then,
     the version moves when the probes differ; otherwise writing moves it and reading doesn't. known: latest_versions() of what is on
-    record, from which its paths go on. A path's references are one array, so this suits paths with up to some hundred thousand references.
+    record, from which its paths go on. References are sorted by path and arrival and passed over once, so memory doesn't depend on how many a path has.
     """
     slim = df.select(F.col(path).alias("p"), F.col(arrival).alias("a"), F.col(ident).alias("id"), F.col(writing).alias("writing"), F.col(size).cast("bigint").alias("size"), F.col(mtime).cast("bigint").alias("mtime"))
     named = slim.where(F.col("p").isNotNull() & (F.col("p") != ""))
-    rows = named.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("a", "id", "writing", "size", "mtime"))).alias("rows"))
     if known is None:
-        rows = rows.withColumns({"version": F.lit(0), "size": F.lit(None).cast("bigint"), "mtime": F.lit(None).cast("bigint")})
+        rows = named.withColumns({"v0": F.lit(0), "s0": F.lit(None).cast("bigint"), "m0": F.lit(None).cast("bigint")})
     else:
-        rows = rows.join(known.select(F.col("path").alias("p"), "version", F.col("size_bytes").alias("size"), F.col("mtime_us").alias("mtime")), "p", "left").withColumn("version", F.coalesce("version", F.lit(0)))
-    start = F.struct("version", "size", "mtime", F.array().cast(f"array<struct<id:{dict(slim.dtypes)['id']},version:int,fresh:boolean>>").alias("out"))
-    out = rows.select(F.explode(F.aggregate("rows", start, _step, lambda acc: acc["out"])).alias("x"))
+        last = known.select(F.col("path").alias("p"), F.col("version").alias("v0"), F.col("size_bytes").alias("s0"), F.col("mtime_us").alias("m0"))
+        rows = named.join(last, "p", "left").withColumn("v0", F.coalesce("v0", F.lit(0)))
+    ordered = rows.select("p", "a", "id", "writing", "size", "mtime", "v0", "s0", "m0").repartition("p").sortWithinPartitions("p", "a")
+    out = ordered.mapInArrow(_versions, f"id {slim.schema['id'].dataType.simpleString()}, version int, fresh boolean")
     alone = slim.where(F.col("p").isNull() | (F.col("p") == "")).select("id", F.lit(1).alias("version"), F.lit(True).alias("fresh"))
-    return out.select("x.id", "x.version", "x.fresh").unionAll(alone)
+    return out.unionAll(alone)
 
 
 def next_version(paths: DataFrame, versions: DataFrame, path: str = "path", version: str = "version") -> DataFrame:
