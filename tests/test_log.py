@@ -147,6 +147,35 @@ def test_store(spark, events, tmp_path):
     assert resolve_path(spark, " ", "d") == "d"
 
 
+def test_a_batch_that_broke_off_counts_once(spark, events, tmp_path, monkeypatch):
+    """A crash at any point between the first write and the commit leaves nothing that a reader sees, and the retry counts once."""
+    made = record(events)
+    for broken in ("activities", "relations", "commits"):
+        store = LogStore(spark, str(tmp_path / broken))
+        store.append("zero", {"agents": made["agents"]})
+        write = LogStore._write
+
+        def fails(self, name, rows, broken=broken, write=write):
+            if name == broken:
+                raise OSError("executor lost")
+            write(self, name, rows)
+
+        rest = {k: v for k, v in made.items() if k != "agents"}
+        monkeypatch.setattr(LogStore, "_write", fails)
+        with pytest.raises(OSError):
+            store.append("one", rest)
+        monkeypatch.setattr(LogStore, "_write", write)
+        seen = store.summary()
+        assert seen["agents"] == 2 and not any(n for t, n in seen.items() if t != "agents")
+        store.append("one", rest)
+        store.append("one", rest)
+        assert store.summary() == {"entities": 8, "activities": 4, "agents": 2, "fingerprints": 0, "relations": 14, "workflows": 0, "workflow_activities": 0, "audit_results": 0}
+    assert LogStore(spark, str(tmp_path / "nowhere")).summary()["agents"] == 0
+    spark.range(1).selectExpr("id AS attempt", "id AS oops").write.parquet(str(tmp_path / "relations/agents2"))
+    monkeypatch.setattr(LogStore, "_raw", lambda self, name: 1 / 0)
+    assert store.summary() == {}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (2, "x")], "a int, b string")
     assert [tuple(r) for r in validate.duplicates(df, ["a", "b"]).collect()] == [(2, "x", 2)]

@@ -51,6 +51,54 @@ def test_record_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log/quarantine")).select(F.col("event_id")).collect()[0][0] == "bad"
 
 
+def test_sessions_are_regrouped(spark, tmp_path):
+    """Workflows follow the stream: made, extended, joined; names that people gave stay; members and deletions can be set by hand."""
+    import pytest
+
+    from tracewell.sources.store import StoreError
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    jobs = [
+        event(1, "Buffer", [layer("INPUT", "/a.shp")], [layer("OUTPUT", "/b.shp")], second=10) | {"algorithm_id": "own|buffer"},
+        event(2, "Merge", [layer("INPUT", "/x.shp")], [layer("OUTPUT", "/y.shp")], second=20),
+        event(3, "Clip", [layer("INPUT", "/b.shp"), layer("OVERLAY", "/y.shp")], [layer("OUTPUT", "/c.shp")], second=30),
+        event(4, "Buffer", [layer("INPUT", "/a.shp")], [layer("OUTPUT", "/b.shp")], second=10, source="history_signal") | {"algorithm_id": "own|buffer"},
+    ]
+    seen = []
+    for i, job in enumerate(jobs):
+        (folder / f"{i}.json").write_text(json.dumps([job]))
+        record_batches(read_channels(spark, {"post_hook": str(folder)}), str(tmp_path / "log"), str(tmp_path / "ck"), {"availableNow": True}).awaitTermination(240)
+        store = LogStore(spark, str(tmp_path / "log"))
+        names = {r["id"]: r["name"] for r in store.workflows().collect()}
+        steps = {r["id"]: r["algorithm_name"] for r in store.activities().collect()}
+        members = {}
+        for r in store.members().orderBy("sequence_order").collect():
+            members.setdefault(r["workflow_id"], []).append(steps[r["activity_id"]])
+        assert set(members) == set(names)
+        seen.append(sorted((names[w], members[w]) for w in names))
+    joined = [("Buffer, then Merge, then Clip", ["Buffer", "Merge", "Clip"])]
+    assert seen == [[("Buffer", ["Buffer"])], [("Buffer", ["Buffer"]), ("Merge", ["Merge"])], joined, joined]
+    assert sorted(r["corroborations"] for r in store.activities().collect()) == [0, 0, 1]
+    (flow,) = names
+    first = store.members().orderBy("sequence_order").first()["activity_id"]
+    store.update_workflow("r", flow, name="Flood risk")
+    store.update_workflow("r2", flow)  # nothing to change
+    store.replace_members("m", flow, [first])
+    assert [r["activity_id"] for r in store.members().collect()] == [first] and store.workflows().first()["name"] == "Flood risk"
+    store.regroup("again", store.activities().select("session_id"))
+    assert store.members().count() == 3 and store.workflows().first()["name"] == "Flood risk"
+    assert store.corroborate("c", first, "e9", "run_wrapper", T0) == 2
+    store.delete_workflow("d", flow)
+    assert store.workflows().count() == store.members().count() == 0 and store.activities().count() == 3
+    assert store.summary()["workflow_activities"] == 0 and store.summary()["activities"] == 3
+    for act in (lambda: store.update_workflow("u", "nothing", name="x"), lambda: store.delete_workflow("u", "nothing"), lambda: store.replace_members("u", "nothing", []), lambda: store.corroborate("u", "nothing", "e", "run_wrapper", T0)):
+        with pytest.raises(StoreError, match="no (workflow|activity)"):
+            act()
+    store.regroup("back", store.activities().select("session_id"))  # a group that comes back
+    assert store.workflows().count() == 1 and store.members().count() == 3
+
+
 def test_versions_go_on_in_later_batches(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

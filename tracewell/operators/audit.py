@@ -40,10 +40,34 @@ def audit_scores(checks: DataFrame, key: str) -> DataFrame:
     return checks.groupBy(key).agg(*shares, F.round(overall, 4).alias("overall_score"))
 
 
-def change_experiment(baseline: DataFrame, scenarios: dict[str, DataFrame], key: str, value: str) -> DataFrame:
-    """(scenario, status, n): what each changed scan is judged to be."""
+#: What a scenario of the change experiment is expected to be judged as.
+CHANGES = ("unchanged", "input deleted", "input modified", "input replaced", "version changed", "plugin uninstalled")
+
+
+def change_kind(checks: DataFrame) -> Column:
+    """What an audited row shows, from its checks and whether a file of another size is there: one of CHANGES."""
+    return (
+        F.when(~F.col("input_exists"), "input deleted").when(~F.col("input_unchanged") & ~F.col("same_size"), "input replaced").when(~F.col("input_unchanged"), "input modified")
+        .when(~F.col("algorithm_available"), "plugin uninstalled").when(~F.col("environment_similar"), "version changed").otherwise("unchanged")
+    )
+
+
+def change_experiment(baseline: DataFrame, scenarios: dict[str, DataFrame], key: str) -> DataFrame:
+    """(scenario, found, n, overall_score): what the audit of each changed world finds, and how it scores.
+
+    baseline and every scan have key, hash, size, version (of the host) and plugins (array<string>); the baseline also names the plugin it needs.
+    """
+    was = baseline.select(key, *[F.col(c).alias(f"__{c}") for c in ("hash", "size", "version", "plugin")])
     out = None
     for name, scan in scenarios.items():
-        one = dataset_status(baseline, scan, key, value).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("scenario"), "status", "n")
+        now = was.join(scan.select(key, "hash", "size", "version", "plugins", F.lit(True).alias("__there")), key, "left")
+        checks = now.select(
+            F.coalesce("__there", F.lit(False)).alias("input_exists"), F.coalesce(F.col("hash") == F.col("__hash"), F.lit(False)).alias("input_unchanged"), F.coalesce(F.col("size") == F.col("__size"), F.lit(False)).alias("same_size"),
+            # without the file the rest of the world is not judged by its row
+            F.coalesce(F.array_contains("plugins", F.col("__plugin")), F.lit(True)).alias("algorithm_available"), F.coalesce(environment_similar(F.col("__version"), F.col("version")), F.lit(True)).alias("environment_similar"),
+            F.lit(True).alias("parameters_valid"), F.lit(name).alias("scenario"),
+        )
+        found = checks.withColumn("found", change_kind(checks)).groupBy("scenario", "found").agg(F.count("*").alias("n"))
+        one = found.join(audit_scores(checks, "scenario").select("scenario", "overall_score"), "scenario")
         out = one if out is None else out.unionAll(one)
-    return out
+    return out.select("scenario", "found", "n", "overall_score")

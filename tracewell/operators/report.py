@@ -12,6 +12,11 @@ def channel_statistics(df: DataFrame, channel: Column, corroborations: Column) -
     return rows.groupBy("channel").agg(F.count("*").alias("activities"), F.coalesce(F.sum("__c"), F.lit(0)).cast("bigint").alias("corroborations"))
 
 
+def breakdown(df: DataFrame, *by: str) -> DataFrame:
+    """(by..., n)."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def completeness(df: DataFrame, by: str, captured: Column) -> DataFrame:
     """(by, total, captured, percent)."""
     out = df.groupBy(by).agg(F.count("*").alias("total"), F.sum(captured.cast("bigint")).alias("captured"))

@@ -26,19 +26,25 @@ def failing(df: DataFrame, predicate: str) -> DataFrame:
 
 
 def violations(name: str, rows: DataFrame, existing: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
-    """(problem, example) of rows that can't be added to table `name`; empty if all can."""
+    """(problem, example) of rows that can't be added to table `name`; empty if all can.
+
+    Of what exists only the keys of rows are looked up, by inner joins whose small side is rows, so a check's shuffles don't grow with the table.
+    """
     found = rows.sparkSession.createDataFrame([], "problem string, example string")
 
     def add(problem: str, bad: DataFrame, example: str) -> None:
         nonlocal found
         found = found.unionAll(bad.select(F.lit(problem).alias("problem"), F.col(example).cast("string").alias("example")))
 
-    both = rows.unionByName(existing)
     for keys in schemas.UNIQUE.get(name, ()):
         if set(keys) <= set(rows.columns):
-            add(f"{', '.join(keys)} not unique", duplicates(both, list(keys)), keys[0])
+            message = f"{', '.join(keys)} not unique"
+            add(message, duplicates(rows, list(keys)), keys[0])
+            add(message, existing.select(*keys).join(rows.select(*keys).distinct(), list(keys)), keys[0])
     for column, parent, parent_column in schemas.FOREIGN.get(name, ()):
-        add(f"{column} has no row in {parent}", orphans(rows, column, parents[parent], parent_column), column)
+        asked = rows.select(column).where(F.col(column).isNotNull()).distinct()
+        there = parents[parent].select(F.col(parent_column).alias(column)).join(asked, column).distinct()
+        add(f"{column} has no row in {parent}", asked.join(there, column, "left_anti"), column)
     if name in schemas.CHECKS:
         add("value outside its domain", failing(rows, schemas.CHECKS[name]), "id")
     for column in schemas.NOT_NULL.get(name, ()):

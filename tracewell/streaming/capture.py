@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,7 +116,9 @@ def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict
     """Start the query that records a stream of events into the log at path.
 
     A batch is one commit, keyed by its number, so a retried batch adds nothing. Repeats are recognised against the runs of
-    their groups that are on record, and versions of a path go on from the latest on record. Rows that can't be recorded go to `quarantine` with their reasons.
+    their groups that are on record, however old these are, and versions of a path go on from the latest on record. Constraints are checked. Then the
+    workflows of the batch's sessions are regrouped, as a commit of its own; if that fails, what is recorded stays, and the next batch of a session
+    regroups it. Rows that can't be recorded go to `quarantine` with their reasons.
     """
     from tracewell.operators.normalize import event_keys
     from tracewell.operators.relate import record
@@ -128,9 +131,11 @@ def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict
         batch = batch.withColumn("__text", F.to_json("parameters")).withColumn("parameters", F.col("__text")).drop("__text").persist()
         try:
             good, bad = quarantine(batch)
-            bad.select("event_id", "source", F.array_join("reasons", "; ").alias("reasons")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/quarantine")
+            aside = bad.select("event_id", "source", F.array_join("reasons", "; ").alias("reasons")).withColumn("batch", F.lit(number))
+            if not bad.isEmpty():  # a folder for each batch, so a retry writes the same one
+                aside.drop("batch").write.mode("overwrite").parquet(f"{path}/quarantine/batch={number}")
             keyed = event_keys(good.withColumn("parameters", F.parse_json("parameters"))).withColumn("parameters", F.to_json("parameters"))
-            known = store.table("activities").where(F.col("dedup_key").isNotNull()).select(F.col("id").alias("activity_id"), F.substring_index("dedup_key", "|", 2).alias("dedup_group"), "started_at", F.greatest("started_at", F.coalesce("ended_at", "started_at")).alias("ended_at"))
+            known = store.table("activities").where(F.col("dedup_key").isNotNull()).select(F.col("id").alias("activity_id"), F.regexp_replace("dedup_key", r"\|[^|]*$", "").alias("dedup_group"), "started_at", F.greatest("started_at", F.coalesce("ended_at", "started_at")).alias("ended_at"))
             margin = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(fixed.DEDUP_MARGIN_S))
             start = instant("e.started_at")
             hits = keyed.alias("e").join(known.alias("k"), (F.col("e.dedup_group") == F.col("k.dedup_group")) & (start >= F.col("k.started_at") - margin) & (start <= F.col("k.ended_at") + margin))
@@ -140,7 +145,11 @@ def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict
             made["agents"] = made["agents"].join(store.table("agents").select("env_fingerprint"), "env_fingerprint", "left_anti")
             made["entities"] = made["entities"].join(store.table("entities").select("id"), "id", "left_anti")
             made["sightings"] = made["sightings"].unionByName(again.select("activity_id", "event_id", "source", "seen_at"))
-            store.append(f"stream-{number}", made, check=False)
+            store.append(f"stream-{number}", made)
+            try:
+                store.regroup(f"stream-{number}-groups", good.select("session_id"))
+            except Exception:  # noqa: BLE001  grouping never costs a recorded run
+                logging.getLogger(__name__).exception("batch %s was recorded, its sessions were not regrouped", number)
         finally:
             batch.unpersist()
 
