@@ -64,8 +64,7 @@ def high_water_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT o_orderstatus AS raw, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN 'failed' WHEN 'P' THEN 'cancelled' END AS status, count(*) AS n FROM orders GROUP BY 1, 2")
 def status_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("raw") == "O", "completed").when(F.col("raw") == "F", "failed").when(F.col("raw") == "P", "cancelled")
-    return B.load(spark, d, "orders").select(F.col("o_orderstatus").alias("raw")).groupBy("raw").agg(F.count("*").alias("n")).withColumn("status", status)
+    return report.breakdown(B.load(spark, d, "orders").select(F.col("o_orderstatus").alias("raw"), B.order_status(F.col("o_orderstatus")).alias("status")), "raw", "status")
 
 
 # -------------------------------------------------------------------------------------------- versions
@@ -165,7 +164,7 @@ _COMPONENTS = f"""WITH RECURSIVE links AS ({_LINKS}), e AS (SELECT DISTINCT a.ac
 def session_datasets(spark: SparkSession, d: str) -> DataFrame:
     acts = B.activities(spark, d)
     # parts get ids apart from orders', as the log's ids are
-    edges = B.relations(spark, d).select("relation_type", *[F.when(F.col(c) == F.col("entity_id"), F.concat(F.lit("e"), c)).otherwise(F.concat(F.lit("a"), c)).alias(c) for c in ("source_id", "target_id")], "activity_id", "entity_id")
+    edges = B.relations(spark, d)
     entity, act = F.concat(F.lit("e"), F.col("entity_id").cast("string")), F.concat(F.lit("a"), F.col("activity_id").cast("string"))
     used = F.col("relation_type") == "used"
     edges = edges.select("relation_type", F.when(used, act).otherwise(entity).alias("source_id"), F.when(used, entity).otherwise(act).alias("target_id"))
@@ -352,11 +351,26 @@ def audit_history(spark: SparkSession, d: str) -> DataFrame:
     return B.load(spark, d, "labels").orderBy(F.desc("doc_id"))
 
 
-@_query("""SELECT scenario, status, count(*) AS n FROM (SELECT 'nothing' AS scenario, 'verified' AS status FROM part UNION ALL SELECT 'one in ten gone', CASE WHEN p_partkey % 10 = 0 THEN 'missing' ELSE 'verified' END FROM part UNION ALL SELECT 'one in five edited', CASE WHEN p_partkey % 5 = 0 THEN 'changed' ELSE 'verified' END FROM part) GROUP BY ALL""")
+_AUDITED = (
+    ("control", "'unchanged'", "max(100.0)"), ("deleted", "CASE WHEN p_partkey % 10 = 0 THEN 'input deleted' ELSE 'unchanged' END", "100 - 55 * avg(CASE WHEN p_partkey % 10 = 0 THEN 1.0 ELSE 0 END)"),
+    ("modified", "CASE WHEN p_partkey % 5 = 0 THEN 'input modified' ELSE 'unchanged' END", "100 - 25 * avg(CASE WHEN p_partkey % 5 = 0 THEN 1.0 ELSE 0 END)"),
+    ("replaced", "CASE WHEN p_partkey % 7 = 0 THEN 'input replaced' ELSE 'unchanged' END", "100 - 25 * avg(CASE WHEN p_partkey % 7 = 0 THEN 1.0 ELSE 0 END)"),
+    ("other host", "'version changed'", "max(85.0)"), ("no plugin", "CASE WHEN p_partkey % 2 = 0 THEN 'plugin uninstalled' ELSE 'unchanged' END", "100 - 20 * avg(CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0 END)"),
+)
+
+
+@_query(" UNION ALL ".join(f"SELECT '{name}' AS scenario, {kind} AS found, count(*) AS n, (SELECT round(CAST({score} AS DOUBLE), 4) FROM part) AS overall_score FROM part GROUP BY 2" for name, kind, score in _AUDITED))
 def change_experiment(spark: SparkSession, d: str) -> DataFrame:
-    base = B.load(spark, d, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand"), 256).alias("h"))
-    edited = base.withColumn("h", F.when(F.col("p_partkey") % 5 == 0, F.concat("h", F.lit("x"))).otherwise(F.col("h")))
-    return audit.change_experiment(base, {"nothing": base, "one in ten gone": base.where(F.col("p_partkey") % 10 != 0), "one in five edited": edited}, "p_partkey", "h")
+    """Six worlds after a run was recorded: as it was, inputs deleted, edited, replaced by others of the same name, another host version, a plugin gone."""
+    k = F.col("p_partkey")
+    plugin = F.when(k % 2 == 0, "extra").otherwise("core")
+    base = B.load(spark, d, "part").select(k, F.sha2(F.concat_ws("|", "p_name", "p_brand"), 256).alias("hash"), F.col("p_size").alias("size"), F.lit("3.34").alias("version"), F.array(F.lit("core"), F.lit("extra")).alias("plugins"), plugin.alias("plugin"))
+    changed = lambda every, **to: base.withColumns({c: F.when(k % every == 0, v).otherwise(F.col(c)) for c, v in to.items()})
+    worlds = {
+        "control": base, "deleted": base.where(k % 10 != 0), "modified": changed(5, hash=F.concat("hash", F.lit("x"))), "replaced": changed(7, hash=F.lit("other"), size=F.col("size") + 1000),
+        "other host": base.withColumn("version", F.lit("4.0")), "no plugin": base.withColumn("plugins", F.array(F.lit("core"))),
+    }
+    return audit.change_experiment(base, worlds, "p_partkey")
 
 
 # ----------------------------------------------------------------------------------- scalar functions

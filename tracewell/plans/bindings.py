@@ -25,9 +25,12 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_status(code: Column) -> Column:
+    return F.when(code == "O", "completed").when(code == "F", "failed").when(code == "P", "cancelled")
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "cancelled")
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("algorithm_id"), status.alias("status"), F.col("o_orderdate").alias("started_at"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("algorithm_id"), order_status(F.col("o_orderstatus")).alias("status"), F.col("o_orderdate").alias("started_at"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
