@@ -27,7 +27,7 @@ def plain(v):
     return None if v is None or isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import scalars as S
-from tracewell.operators import audit, graph, grouping, lookup, report, validate
+from tracewell.operators import audit, graph, grouping, lookup, relate, report, validate
 from tracewell.operators.dedup import corroborations, first_wins
 from tracewell.operators.versions import next_version
 from tracewell.plans import bindings as B
@@ -144,13 +144,16 @@ def previous_sighting(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT c_mktsegment, c_nationkey, min(c_custkey) AS agent_id FROM customer GROUP BY 1, 2")
 def distinct_agents(spark: SparkSession, d: str) -> DataFrame:
-    return B.load(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.min("c_custkey").alias("agent_id"))
+    agent = F.struct(F.col("c_mktsegment").alias("qgis_version"), F.col("c_nationkey").cast("string").alias("os_info"), F.lit("3").alias("python_version"), F.create_map().cast("map<string,string>").alias("plugin_versions"))
+    found = relate.distinct_agents(B.load(spark, d, "customer").select(agent.alias("agent"), F.timestamp_micros("c_custkey").alias("start_ts")))
+    return found.select(F.col("qgis_version").alias("c_mktsegment"), F.col("os_info").cast("int").alias("c_nationkey"), F.unix_micros("created_at").alias("agent_id"))
 
 
 @_query("SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def new_agents_anti(spark: SparkSession, d: str) -> DataFrame:
-    known = B.load(spark, d, "supplier").where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("c_nationkey"))
-    return B.load(spark, d, "customer").select("c_nationkey").distinct().join(known, "c_nationkey", "left_anti")
+    known = B.load(spark, d, "supplier").where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("env_fingerprint"))
+    agents = B.load(spark, d, "customer").select(F.col("c_nationkey").alias("env_fingerprint")).distinct()
+    return relate.new_agents(agents, known).select(F.col("env_fingerprint").alias("c_nationkey"))
 
 
 # -------------------------------------------------------------------------------------------- grouping
@@ -236,8 +239,8 @@ _OF_7 = "(SELECT 'a' || o_orderkey FROM orders WHERE o_custkey = 7)"
 
 @_query("SELECT conv_id, turn, role, md5(text) AS body FROM conversations")
 def graph_activities(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.load(spark, d, "conversations").orderBy("conv_id", F.asc_nulls_first("turn"))
-    return rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("body"))
+    rows = B.load(spark, d, "conversations").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("body"))
+    return rows.orderBy("conv_id", F.asc_nulls_first("turn"))
 
 
 @_query(f"WITH {_REL} SELECT relation_type, source_id, target_id, role FROM rel WHERE source_id IN {_OF_7} OR target_id IN {_OF_7}")
@@ -284,7 +287,9 @@ def derived_two_hops(spark: SparkSession, d: str) -> DataFrame:
     """How many datasets each dataset comes from in two steps."""
     edges = _derived(spark, d)
     first = edges.select("derived", F.col("origin").alias("via"))
-    return first.join(edges.select(F.col("derived").alias("via"), "origin"), "via").groupBy("derived").agg(F.count_distinct("origin").alias("origins"))
+    # distinct pairs are made in each task before they are shuffled
+    pairs = first.join(edges.select(F.col("derived").alias("via"), "origin"), "via").select("derived", "origin").distinct()
+    return pairs.groupBy("derived").agg(F.count("*").alias("origins"))
 
 
 @_query("""WITH RECURSIVE up(conv_id, start, node, depth) AS (SELECT conv_id, turn, turn, 0 FROM conversations UNION ALL SELECT up.conv_id, up.start, c.turn, up.depth + 1 FROM up JOIN conversations c ON c.conv_id = up.conv_id AND c.turn = up.node - 1)
@@ -508,8 +513,12 @@ def prov_export_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from tracewell import catalog_log  # noqa: F401  adds its queries to these
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tracewell import catalog_log  # noqa: F401
+
     return dict(SQL)
