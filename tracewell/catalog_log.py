@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import schemas
 from tracewell.catalog import _COMPONENTS, _DERIVED, _OF_7, _derived, _named_relations, _query
 from tracewell.functions import scalars as S
-from tracewell.operators import graph, grouping, normalize, relate, versions
+from tracewell.operators import audit, graph, grouping, normalize, relate, versions
 from tracewell.plans import bindings as B
 
 # ------------------------------------------------------------------------------------------ normalising
@@ -175,3 +175,29 @@ def replay_plan(spark: SparkSession, d: str) -> DataFrame:
     members = grouping.in_sequence(acts, ["session_id"], F.col("started_at"), F.col("id")).select(F.col("session_id").cast("string").alias("workflow_id"), F.col("id").alias("activity_id"), F.col("sequence_order").cast("bigint").alias("sequence_order"))
     jobs = acts.select("id", F.concat(F.lit("native:"), "algorithm_id").alias("algorithm_id"), F.col("id").cast("string").alias("parameters"))
     return plan(jobs, members, "7")
+
+
+@_query("SELECT d.doc_id AS entity_id, source AS file_path, CAST(n_chars % 3 AS BIGINT) AS content_version, sha256(text) AS hash_value FROM documents d WHERE text IS NOT NULL AND source IS NOT NULL")
+def fingerprinted_entities(spark: SparkSession, d: str) -> DataFrame:
+    docs = B.load(spark, d, "documents")
+    entities = docs.where(F.col("source").isNotNull()).select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), (F.col("n_chars") % 3).cast("bigint").alias("content_version"))
+    return audit.fingerprinted(audit.fingerprints(docs, "doc_id", "text"), entities).select("entity_id", "file_path", "content_version", "hash_value")
+
+
+@_query("""WITH n AS (SELECT o_custkey AS k, '{"@id":"log:a' || o_orderkey || '","@type":"prov:Activity","prov:startedAtTime":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f+00:00') || '","log:algorithm":"' || o_orderpriority || '"}' AS n FROM orders
+  UNION ALL SELECT DISTINCT o_custkey, '{"@id":"log:host","@type":"prov:SoftwareAgent","log:version":"3.34"}' FROM orders
+  UNION ALL SELECT DISTINCT o_custkey, '{"@id":"log:e' || l_partkey || '","@type":"prov:Entity","prov:label":"part ' || l_partkey || '","log:version":1}' FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT DISTINCT o_custkey, CASE WHEN l_linestatus = 'F' THEN '{"@type":"prov:Usage","prov:activity":{"@id":"log:a' || l_orderkey || '"},"prov:entity":{"@id":"log:e' || l_partkey || '"},"prov:role":"' || CASE WHEN l_returnflag = 'R' THEN 'overlay' ELSE 'input' END || '"}'
+    ELSE '{"@type":"prov:Generation","prov:entity":{"@id":"log:e' || l_partkey || '"},"prov:activity":{"@id":"log:a' || l_orderkey || '"},"prov:role":"output"}' END FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+  SELECT k AS session_id, '{"@context":{"prov":"http://www.w3.org/ns/prov#","log":"urn:tracewell:"},"@graph":[' || string_agg(n, ',' ORDER BY n) || ']}' AS document FROM n GROUP BY k""")
+def prov_jsonld_all(spark: SparkSession, d: str) -> DataFrame:
+    """JSON-LD of every customer's orders, one document each."""
+    from tracewell.operators.export import prov_jsonld
+
+    acts = B.activities(spark, d).select("session_id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"), "algorithm_id", "started_at", F.lit(None).cast("timestamp").alias("ended_at"))
+    used = F.col("relation_type") == "used"
+    rel = _named_relations(spark, d).distinct().withColumns({"job": F.when(used, F.col("source_id")).otherwise(F.col("target_id")), "part": F.when(used, F.col("target_id")).otherwise(F.col("source_id"))})
+    rel = rel.join(acts.select("session_id", F.col("id").alias("job")), "job")
+    parts = rel.select("session_id", F.col("part").alias("id")).distinct().select("session_id", "id", F.concat(F.lit("part "), F.substring("id", 2, 20)).alias("label"), F.lit(1).alias("content_version"))
+    agents = acts.select("session_id").distinct().select("session_id", F.lit("host").alias("id"), F.lit("3.34").alias("qgis_version"))
+    return prov_jsonld(acts, parts, agents, rel, "session_id")

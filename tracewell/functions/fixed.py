@@ -28,7 +28,15 @@ OUTPUT_KINDS = (
     "outputVector", "outputRaster", "outputLayer", "outputFile", "outputFolder", "outputMultilayer", "outputPointCloud", "outputVectorTile",
 )
 
-# Spellings in history payloads, first hit wins, and the algorithm in a recorded command.
+# What marks a dataset of which only the selected features were used, the key of parameters that come without keys, and the depth of nesting that is kept.
+SELECTED = "|selectedFeaturesOnly=yes"
+WRAPPED = "_parameters"
+MAX_DEPTH = 6
+
+# Facts of a layer that results may fill in.
+FILLED = ("format", "crs", "feature_count", "band_count", "pixel_size", "width", "height")
+
+# How history payloads spell what is looked for; a payload's value is that of the earliest spelling it has. Last, the algorithm in a recorded command.
 ALGORITHM_KEYS = ("algorithm_id", "algorithmId", "alg_id", "algorithm")
 PARAMETER_KEYS = ("parameters", "algorithm_parameters", "params")
 COMMAND_KEYS = ("python_command", "command", "pythonCommand")

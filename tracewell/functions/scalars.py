@@ -101,6 +101,21 @@ def masked(text: Cols) -> Column:
     return F.regexp_replace(_c(text), "0x[0-9a-fA-F]+", "0x…")
 
 
+def selection(value: Cols) -> Column:
+    """A JSON object that names a source and says that only its selected features were used becomes a text that says so; other values stay."""
+    v = F.try_parse_json(_c(value))
+    source = F.try_variant_get(v, "$.source", "string")
+    only = F.try_variant_get(v, "$.selectedFeaturesOnly", "boolean")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object & F.coalesce(only, F.lit(False)) & source.isNotNull(), F.concat(source, F.lit(fixed.SELECTED))).otherwise(_c(value))
+
+
+def parameters_object(v: Column) -> Column:
+    """JSON text of a variant that holds parameters: an object as it is, anything else under one key, nothing as an empty object."""
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(v.isNull(), F.lit("{}")).when(is_object, F.to_json(v)).otherwise(F.concat(F.lit('{"' + fixed.WRAPPED + '":'), F.to_json(v), F.lit("}")))
+
+
 def whole_number(x: Cols) -> Column:
     n = _c(x).try_cast("bigint")
     return F.when(n >= 0, n)

@@ -26,6 +26,12 @@ def latest_fingerprint(df: DataFrame) -> DataFrame:
     return latest(df, ["entity_id"], F.desc("computed_at"), F.desc("id"))
 
 
+def fingerprinted(fingerprints_: DataFrame, entities: DataFrame) -> DataFrame:
+    """fingerprints with the path and version of the entity that each is of."""
+    named = entities.select(F.col("id").alias("entity_id"), "file_path", "content_version")
+    return fingerprints_.join(named, "entity_id")
+
+
 def environment_similar(a: Column, b: Column, level: str = "major") -> Column:
     """Do two versions agree in their first number, or their first two?"""
     n = {"major": 1, "minor": 2}[level]

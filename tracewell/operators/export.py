@@ -37,6 +37,25 @@ def prov_json(activities: DataFrame, entities: DataFrame, agents: DataFrame, rel
     return doc.select(document) if key is None else doc.select(F.col("__activity").alias(key), document)
 
 
+def prov_jsonld(activities: DataFrame, entities: DataFrame, agents: DataFrame, relations: DataFrame, key: str) -> DataFrame:
+    """(key, document): JSON-LD of each workflow. Nodes and qualified edges are the members of one @graph, in order of their text. key: a column of all four tables."""
+    name = lambda c: F.concat(F.lit("log:"), F.col(c))
+    node = lambda kind, **facts: F.to_json(F.struct(name("id").alias("@id"), F.lit(f"prov:{kind}").alias("@type"), *[F.col(c).alias(k) for k, c in facts.items()]))
+    ends = {"used": ("Usage", "activity", "entity"), "wasGeneratedBy": ("Generation", "entity", "activity"), "wasDerivedFrom": ("Derivation", "generatedEntity", "usedEntity"), "wasAssociatedWith": ("Association", "activity", "agent"), "wasAttributedTo": ("Attribution", "entity", "agent")}
+    edge = lambda kind, a, b: F.to_json(F.struct(F.lit(f"prov:{kind}").alias("@type"), F.struct(name("source_id").alias("@id")).alias(f"prov:{a}"), F.struct(name("target_id").alias("@id")).alias(f"prov:{b}"), F.col("role").alias("prov:role")))
+    parts = [
+        activities.withColumn("__start", iso_micros("started_at")).withColumn("__end", iso_micros("ended_at")).select(key, node("Activity", **{"prov:startedAtTime": "__start", "prov:endedAtTime": "__end", "log:algorithm": "algorithm_id"}).alias("n")),
+        entities.select(key, node("Entity", **{"prov:label": "label", "log:version": "content_version"}).alias("n")),
+        agents.select(key, node("SoftwareAgent", **{"log:version": "qgis_version"}).alias("n")),
+        *[relations.where(F.col("relation_type") == kind).select(key, edge(*names).alias("n")) for kind, names in ends.items()],
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
+    head = '{"@context":{"prov":"http://www.w3.org/ns/prov#","log":"urn:tracewell:"},"@graph":['
+    return rows.groupBy(key).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("n")), ","), F.lit("]}")).alias("document"))
+
+
 def replay_plan(activities: DataFrame, members: DataFrame, workflow_id: str) -> DataFrame:
     """(sequence_order, algorithm_id, parameters) of a workflow, in order."""
     rows = members.where(F.col("workflow_id") == workflow_id).join(activities, F.col("activity_id") == F.col("id"))

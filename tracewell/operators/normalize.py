@@ -45,10 +45,7 @@ def split_parameters(parameters: Column, definitions: Column) -> Column:
     of = lambda kinds: F.filter(entries, lambda e: F.coalesce(_kind(e["key"], definitions).isin(*kinds), F.lit(False)))
     layers = lambda xs: F.transform(xs, lambda e: describe_layer(e["key"], e["value"]))
     rest = F.filter(entries, lambda e: ~F.coalesce(_kind(e["key"], definitions).isin(*fixed.INPUT_KINDS, *fixed.OUTPUT_KINDS), F.lit(False)))
-    return F.struct(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"].alias("key"), S.masked(e["value"]).alias("value")))).alias("scalars"), layers(of(fixed.INPUT_KINDS)).alias("inputs"), layers(of(fixed.OUTPUT_KINDS)).alias("outputs"))
-
-
-_FILLED = ("format", "crs", "feature_count", "band_count", "pixel_size", "width", "height")
+    return F.struct(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"].alias("key"), S.masked(S.selection(e["value"])).alias("value")))).alias("scalars"), layers(of(fixed.INPUT_KINDS)).alias("inputs"), layers(of(fixed.OUTPUT_KINDS)).alias("outputs"))
 
 
 def merge_results(outputs: Column, results: Column, definitions: Column) -> Column:
@@ -61,7 +58,7 @@ def merge_results(outputs: Column, results: Column, definitions: Column) -> Colu
     def merged(layer: Column) -> Column:
         value = F.try_element_at(results, layer["param"])
         seen = describe_layer(layer["param"], value)
-        pick = {f: F.coalesce(layer[f], seen[f]) for f in _FILLED} | {"param": layer["param"], "path": F.coalesce(seen["path"], layer["path"]), "layer_type": F.when(layer["layer_type"] == "unknown", seen["layer_type"]).otherwise(layer["layer_type"])}
+        pick = {f: F.coalesce(layer[f], seen[f]) for f in fixed.FILLED} | {"param": layer["param"], "path": F.coalesce(seen["path"], layer["path"]), "layer_type": F.when(layer["layer_type"] == "unknown", seen["layer_type"]).otherwise(layer["layer_type"])}
         order = ("param", "path", "format", "crs", "layer_type", "feature_count", "band_count", "pixel_size", "width", "height")
         return F.when(value.isNull(), layer).otherwise(F.struct(*[pick[f].alias(f) for f in order]).cast(schemas.LAYER))
 

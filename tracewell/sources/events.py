@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.functions import fixed
-from tracewell.functions.scalars import as_int, instant
+from tracewell.functions.scalars import as_int, instant, parameters_object
 
 
 def read_events(spark: SparkSession, path: str, *, session_id: str | None = None, status: str | None = None, limit: int | None = None, multi_line: bool = True) -> DataFrame:
@@ -21,6 +21,11 @@ def read_events(spark: SparkSession, path: str, *, session_id: str | None = None
     return df if limit is None else df.limit(limit)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, with the fields that have values; read_events(multi_line=False) reads events back."""
+    df.write.mode("errorifexists").json(path)
+
+
 def _first(payload: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_variant_get(payload, f"$.{k}", "variant") for k in keys])
 
@@ -35,7 +40,7 @@ def parse_history(df: DataFrame, payload: str = "payload") -> DataFrame:
     command = text(_first(v, fixed.COMMAND_KEYS))
     named = F.nullif(text(_first(v, fixed.ALGORITHM_KEYS)), F.lit(""))
     found = F.nullif(F.regexp_extract(command, fixed.COMMAND_PATTERN, 1), F.lit(""))
-    return df.withColumns({"algorithm_id": F.coalesce(named, found), "parameters": F.coalesce(F.to_json(_first(v, fixed.PARAMETER_KEYS)), F.lit("{}")), "python_command": command})
+    return df.withColumns({"algorithm_id": F.coalesce(named, found), "parameters": parameters_object(_first(v, fixed.PARAMETER_KEYS)), "python_command": command})
 
 
 def new_entries(df: DataFrame, mark: int, *, entry_id: str = "entry_id", provider: str = "provider") -> DataFrame:

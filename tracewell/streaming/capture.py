@@ -112,6 +112,35 @@ def start_times_batch(df: DataFrame, session: str, arrival: str, kind: str, us:
     return df.withColumn("b", before).where(F.col(kind) == "post").withColumn("started_us", F.when(fits, F.col("b.us"))).drop("b")
 
 
+class HistoryCursor(StatefulProcessor):
+    """The highest entry id seen of each provider. Ids at or below it came late or again and are skipped; entries that are no jobs move it too."""
+
+    def __init__(self, start: int) -> None:
+        self.start = start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mark = handle.getValueState("mark", "id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        mark = self.mark.get()[0] if self.mark.exists() else self.start
+        out = []
+        for r in pd.concat(list(rows)).sort_values("arrival").itertuples():
+            out.append((int(r.arrival), int(r.id), int(r.id) <= mark))
+            mark = max(mark, int(r.id))
+        self.mark.update((mark,))
+        yield pd.DataFrame(out, columns=["arrival", "id", "skipped"])
+
+    def close(self) -> None:
+        pass
+
+
+def follow_history(entries: DataFrame, start: int = 0) -> DataFrame:
+    """(arrival, id, skipped) for a stream of (provider, entry_id, arrival). start: the highest id when the stream begins, so that history isn't imported again."""
+    ids = F.trim(F.col("entry_id").cast("string")).try_cast("bigint")
+    slim = entries.select(F.coalesce("provider", F.lit("processing")).alias("provider"), F.col("arrival").cast("bigint").alias("arrival"), ids.alias("id")).where(F.col("id").isNotNull())
+    return slim.groupBy("provider").transformWithStateInPandas(HistoryCursor(start), "arrival bigint, id bigint, skipped boolean", "append", "none")
+
+
 def record_batches(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):  # noqa: ANN201
     """Start the query that records a stream of events into the log at path.
 
