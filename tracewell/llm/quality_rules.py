@@ -6,8 +6,9 @@ rows, loses conditions from its end while that helps on the other third, and is
 covers leave, and the next rule is grown. The result is a list of conjunctions, which `verdict` turns into one CASE expression.
 
 Nulls and edge cases: a null or blank text has zero words and fails the base rule; null labels are not learned from; with no
-labelled row of either class no rule is learned and the base rule alone decides; extra columns are ignored; repeated rows are
-judged one by one; rows with equal statistics always get equal verdicts.
+labelled row of either class no rule is learned and the base rule alone decides; repeated rows are judged one by one; rows with equal
+statistics always get equal verdicts; a very long text is judged whole, in arrays of its words and of a hash for each of its windows; an empty table
+gives an empty result. Extra columns are passed on by keep(), whatever their names; judge() replaces those that have a statistic's name.
 """
 
 from __future__ import annotations

@@ -86,8 +86,20 @@ def op9_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed columns of op10, which SQL can express: everything but what the learned rules say."""
+    from tracewell.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed columns of op6, which SQL can express: phrases word by word, without the join's blocks."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
+    return {f.__name__: f for f in (quality_statistics, license_phrases, op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_packing, op5_language_id, op6_license_scan, op7_suffix_dedup, op8_mixing, op9_ann_graph, op10_quality_rules)}
 
 
 _OP1_SQL = r"""
@@ -111,6 +123,24 @@ m AS (SELECT d.*, g.source_size, g.target, CAST(floor(g.target / greatest(g.sour
 SELECT doc_id, source, size, source_size, target, CAST(size * (copies + CASE WHEN copies >= 2 THEN 0 WHEN upto <= target - copies * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m"""
 
 
+_STATISTICS_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o || ' ' || lead(x, 5) OVER o || ' ' || lead(x, 6) OVER o || ' ' || lead(x, 7) OVER o AS g FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 AS hit FROM g),
+c AS (SELECT r, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM h),
+s AS (SELECT r, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM t LEFT JOIN s ON s.r = t.r"""
+
+_PHRASES_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'under' AND w[i + 1] = 'the' AND w[i + 2] = 'mit' AND w[i + 3] = 'license') AS m,
+  list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license' AND w[i + 2] = 'version' AND w[i + 3] = '2') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by' AND w[i + 2] = 'nc') AS c FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(m) + len(a) + len(c) AS BIGINT) AS n_base, list_min(m || a || c) - 1 AS first_word, list_max(m || a || c) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force."""
-    return {"op1_near_dedup": _OP1_SQL, "op8_mixing": _OP8_SQL}
+    return {"op1_near_dedup": _OP1_SQL, "op8_mixing": _OP8_SQL, "quality_statistics": _STATISTICS_SQL, "license_phrases": _PHRASES_SQL}
