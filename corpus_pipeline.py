@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+
+Nulls and edge cases: null, empty and blank texts fail the quality rules' base and go; null ids, languages and sources are values like others, and
+a null id is never preferred to another; repeated rows are near copies, of which one stays; ties go to the smaller id, then to the earlier row; very long
+texts are taken whole by every stage and cut into pieces only by the last; extra columns are passed on by all but the last stage, whatever
+their names, and ignored by the last; an empty table gives an empty result; without labels the quality rules' base decides alone.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import free_name, stored, table
 from tracewell.llm.queries import byte_vocabulary
+from tracewell.plans.tables import drop_stored, stored_so_far
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,14 +63,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: The learned rules, chosen paths and packing have no SQL; tests hold run() against a brute-force version.
+#: The learned rules, chosen paths and packing have no SQL; tests hold run() and each stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's intermediate tables, and the documents it read, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), stored_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, f"pipeline-{name}")
+            drop_stored(spark, since=before, last=False)
     return docs

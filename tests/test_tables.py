@@ -9,6 +9,16 @@ def test_stored_tables_can_be_dropped(spark, monkeypatch):
     df = tables.stored(spark.range(5), "five")
     assert df.count() == 5 and df.inputFiles()[0].startswith(tables.shared_dir(spark).split(":")[0])
     assert tables.drop_stored(spark) == 1 and tables.drop_stored(spark) == 0
+    kept, mark = tables.stored(spark.range(2), "kept"), tables.stored_so_far()
+    frames = [tables.stored(spark.range(i), "more") for i in (3, 4)]
+    assert tables.drop_stored(spark, since=mark, last=False) == 1 and kept.count() == 2 and frames[1].count() == 4
+    assert tables.drop_stored(spark) == 2
+
+
+def test_small_tables_get_few_files(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_written", [])
+    wide = tables.stored(spark.range(1000).repartition(50, "id"), "wide")
+    assert len(wide.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism and wide.count() == 1000
 
 
 def test_components(spark):

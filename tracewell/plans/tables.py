@@ -24,11 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables that this process stored, once no result that reads them is needed any more; returns how many there were."""
+def stored_so_far() -> int:
+    """How many tables there are that drop_stored() would delete: a mark for its `since`."""
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, last: bool = True) -> int:
+    """Delete the tables that this process stored, once no result that reads them is needed any more; returns how many there were.
+
+    since: a mark of stored_so_far(), for the tables stored after it. last=False: all but the newest table.
+    """
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) if last else -1]
+    del _written[since : since + len(gone)]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
