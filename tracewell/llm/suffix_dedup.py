@@ -36,7 +36,7 @@ KMER = 64
 _CHUNK = 1 << 17  # bytes hashed at a time: arrays of 1 MB, which stay in cache
 _PORTION = 1 << 22  # bytes after which segments leave a task
 _GROUPS = 1 << 20  # bytes of segments sorted at a time
-HOT = 512  # different segments of one key from which it is dealt out by distance
+HOT = 128  # different segments of one key from which it is dealt out by distance
 FLOOD = 1 << 16  # from which it is dealt out by window
 _NEAR = 8  # distances dealt together
 _PIECES = 40_000  # pieces of dealt keys that a task holds to find copies
