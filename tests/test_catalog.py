@@ -38,10 +38,6 @@ def test_query(spark, con, name):
     assert ours == theirs
 
 
-def test_export(spark):
-    assert catalog.prov_export(spark, DATA).count() == 1
-
-
 def test_export_of_every_workflow(spark, con):
     documents = catalog.prov_export_all(spark, DATA).collect()
     got = {r["session_id"]: json.loads(r["document"]) for r in documents}

@@ -482,19 +482,6 @@ def bytes_per_operation(spark: SparkSession, d: str) -> DataFrame:
     return report.bytes_per_operation(B.load(spark, d, "events"), "event_type", F.length("props"))
 
 
-@_query()
-def prov_export(spark: SparkSession, d: str) -> DataFrame:
-    """PROV-JSON of one customer's orders; a document has no SQL worth the name."""
-    from tracewell.operators.export import prov_json
-
-    none = lambda t: F.lit(None).cast(t)
-    acts = B.activities(spark, d).where(F.col("session_id") == 7).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"), "algorithm_id", "status", "started_at", none("timestamp").alias("ended_at"))
-    rel = graph.touching(_named_relations(spark, d), acts.select("id"))
-    ends = graph.endpoints(rel).where(F.col("node").startswith("e")).select(F.col("node").alias("id"), F.col("node").alias("label"), none("string").alias("file_path"), F.lit(1).alias("content_version"))
-    agents = spark.createDataFrame([("agent", "3.34")], "id string, qgis_version string")
-    return prov_json(acts, ends, agents, stored(rel.withColumn("id", S.derived_id("relation_type", "source_id", "target_id")), "prov-relations"))
-
-
 @_query()
 def prov_export_all(spark: SparkSession, d: str) -> DataFrame:
     """(session_id, document): PROV-JSON of every customer's orders, one document each."""

@@ -49,6 +49,48 @@ def environment_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return B.load(spark, d, "customer").select("c_custkey", found.alias("env_fingerprint"))
 
 
+@_query(
+    """SELECT p_partkey, 'L' AS param, '/d/' || p_partkey || '.tif' AS path, CASE p_partkey % 3 WHEN 0 THEN 'GeoTIFF' WHEN 1 THEN 'gdal' ELSE 'PNG' END AS format, CASE WHEN p_partkey % 2 = 0 THEN 'EPSG:' || p_size END AS crs,
+  CASE WHEN p_partkey % 5 = 0 THEN 'vector' WHEN p_partkey % 7 <> 0 THEN 'raster' WHEN p_partkey % 2 = 0 THEN 'table' ELSE 'unknown' END AS layer_type, CAST(CASE WHEN p_partkey % 5 = 0 THEN p_size END AS BIGINT) AS features, CAST(CASE WHEN p_partkey % 7 <> 0 THEN 3 END AS BIGINT) AS bands,
+  CASE WHEN p_partkey % 4 <> 0 THEN p_size / 2.0::DOUBLE END AS pixel_x, CAST(p_partkey AS BIGINT) AS width, NULL::BIGINT AS height FROM part"""
+)
+def layer_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Layers described in JSON, some facts missing, empty, negative or no numbers."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    fact = lambda name, value: F.concat(F.lit(f',"{name}":"'), value.cast("string"), F.lit('"'))
+    opt = lambda test, text, other="": F.when(test, text).otherwise(F.lit(other))
+    text = F.concat(
+        F.lit('{"source":"/d/'), k.cast("string"), F.lit('.tif|layerid=0"'), F.when(k % 3 == 0, F.lit(',"driver":"GTiff"')).when(k % 3 == 1, F.lit(',"driver":"","provider":"gdal"')).otherwise(F.lit(',"format":"PNG"')),
+        opt(k % 2 == 0, F.concat(F.lit(',"crs":"EPSG:'), size.cast("string"), F.lit('","layer_type":"table"')), ',"crs":""'), opt(k % 5 == 0, fact("feature_count", size), ',"feature_count":"-1"'), opt(k % 7 != 0, fact("band_count", F.lit(3)), ',"band_count":"many"'),
+        opt(k % 4 != 0, F.concat(fact("pixel_x", size / 2), fact("pixel_y", size / 2)), ',"pixel_x":"NaN","pixel_y":"1"'), fact("width", k), F.lit(',"height":"-5"}'),
+    )
+    layer = normalize.describe_layer(F.lit("L"), text)
+    rows = B.load(spark, d, "part").select("p_partkey", layer.alias("x"))
+    return rows.select("p_partkey", "x.param", "x.path", "x.format", "x.crs", "x.layer_type", F.col("x.feature_count").alias("features"), F.col("x.band_count").alias("bands"), F.get("x.pixel_size", F.lit(0)).alias("pixel_x"), "x.width", "x.height")
+
+
+_ID = "md5(concat_ws(chr(31), coalesce(c_mktsegment, chr(0)), CAST(c_custkey AS VARCHAR), chr(0)))"
+
+
+@_query(f"SELECT c_custkey, substr({_ID}, 1, 8) || '-' || substr({_ID}, 9, 4) || '-' || substr({_ID}, 13, 4) || '-' || substr({_ID}, 17, 4) || '-' || substr({_ID}, 21, 12) AS id FROM customer")
+def derived_ids(spark: SparkSession, d: str) -> DataFrame:
+    return B.load(spark, d, "customer").select("c_custkey", S.derived_id("c_mktsegment", "c_custkey", F.lit(None)).alias("id"))
+
+
+@_query("SELECT doc_id, CASE WHEN l.quality IS NOT NULL AND l.toxic IS NOT NULL AND d.n_chars IS NOT NULL THEN d.n_chars % 2 = l.quality AND d.n_chars % 3 = l.toxic END AS same FROM documents d LEFT JOIN labels l USING (doc_id)")
+def same_probe(spark: SparkSession, d: str) -> DataFrame:
+    both = B.load(spark, d, "documents").join(B.load(spark, d, "labels"), "doc_id", "left")
+    return both.select("doc_id", S.same_probe(F.col("n_chars") % 2, F.col("n_chars") % 3, "quality", "toxic").alias("same"))
+
+
+@_query("SELECT p_partkey, p_size // 10 = p_partkey % 5 AS major, p_size // 10 = p_partkey % 5 AND p_size % 10 = p_partkey % 10 AS minor FROM part")
+def environment_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Host versions that agree in their first number, or their first two."""
+    text = lambda *n: F.concat_ws(".", *[x.cast("int").cast("string") for x in n], F.lit("7"))
+    a, b = text(F.floor(F.col("p_size") / 10), F.col("p_size") % 10), text(F.col("p_partkey") % 5, F.col("p_partkey") % 10)
+    return B.load(spark, d, "part").select("p_partkey", audit.environment_similar(a, b).alias("major"), audit.environment_similar(a, b, "minor").alias("minor"))
+
+
 # -------------------------------------------------------------------------------------------- recording
 
 _REFS = """refs AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linestatus <> 'F' AS w, CASE WHEN l_linestatus <> 'F' THEN 'output' WHEN l_returnflag = 'R' THEN 'overlay' ELSE 'input' END AS role FROM lineitem JOIN orders ON o_orderkey = l_orderkey),

@@ -74,6 +74,8 @@ def lineage(edges: DataFrame, start: DataFrame, *, child: str = "derived", paren
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:  # else each round reads a table for every round before it
+            seen = stored(seen, f"lineage-seen-{depth}")
     raise RuntimeError(f"lineage is deeper than {max_depth}")
 
 

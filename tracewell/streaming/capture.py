@@ -31,10 +31,10 @@ class FirstWins(StatefulProcessor):
     """Recorded runs of a dedup group: the first sighting is recorded, later ones in its widened interval repeat it.
 
     Runs that ended more than `keep_us` before the newest start are forgotten, so state doesn't grow with time; a sighting later than that
-    is recorded as a run of its own.
+    is recorded as a run of its own. Without `keep_us` nothing is forgotten, and decisions are those of the batch however late a sighting is.
     """
 
-    def __init__(self, margin_us: int, keep_us: int) -> None:
+    def __init__(self, margin_us: int, keep_us: int | None) -> None:
         self.margin, self.keep = margin_us, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,17 +55,17 @@ class FirstWins(StatefulProcessor):
                 runs.append((s, int(r.id), max(s, e)))
                 out.append((r.id, r.id, True))
         newest = max((x[0] for x in runs), default=0)
-        self.runs.put([x for x in runs if x[2] + self.margin >= newest - self.keep])
+        self.runs.put(runs if self.keep is None else [x for x in runs if x[2] + self.margin >= newest - self.keep])
         yield pd.DataFrame(out, columns=["id", "anchor", "recorded"])
 
     def close(self) -> None:
         pass
 
 
-def dedup_stream(sightings: DataFrame, margin_s: float = fixed.DEDUP_MARGIN_S, keep_s: float = 86_400.0) -> DataFrame:
+def dedup_stream(sightings: DataFrame, margin_s: float = fixed.DEDUP_MARGIN_S, keep_s: float | None = 86_400.0) -> DataFrame:
     """Decisions for a stream of (dedup_group, id, start_ts, end_ts); ids ascend in order of arrival."""
     slim = sightings.select("dedup_group", F.col("id").cast("bigint").alias("id"), F.unix_micros("start_ts").alias("s"), F.unix_micros("end_ts").alias("e"))
-    return slim.groupBy("dedup_group").transformWithStateInPandas(FirstWins(int(margin_s * 1e6), int(keep_s * 1e6)), DECISION, "append", "none")
+    return slim.groupBy("dedup_group").transformWithStateInPandas(FirstWins(int(margin_s * 1e6), None if keep_s is None else int(keep_s * 1e6)), DECISION, "append", "none")
 
 
 class StartHandover(StatefulProcessor):
