@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph a shard.
 
 Equal vectors are one node that keeps its smallest ids, as many as an answer can hold. Nodes are dealt to shards by the power of two
-under their norm, then by hash. In each shard
+near their norm, then by hash. In each shard
 nodes are inserted in batches: a greedy beam search over the graph so far proposes neighbours, and relaxed distance pruning keeps
 an edge only if no kept neighbour is nearer to its end by the factor `alpha`, so that edges point in diverse directions.
 Targets get edges back and are pruned again when they have too many; nodes that end up beyond reach get an edge from a neighbour. Queries search every shard by beam search, in blocks; what the
@@ -195,10 +195,13 @@ def usable(vector: Column) -> Column:
 
 
 def band(vector: Column) -> Column:
-    """The power of two at or under the norm: the largest component is scaled out first, so nothing overflows."""
+    """The power of two near the norm; the largest component is scaled out first, so nothing overflows.
+
+    Bands begin a quarter under the powers of two, so that norms that are all about 1, or about the root of a dimension that is a power of two, aren't split.
+    """
     largest = F.array_max(F.transform(vector, F.abs))
     rest = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / largest) * (x / largest)))
-    return F.floor(F.log2(largest) + F.log2(rest)).cast("int")
+    return F.floor(F.log2(largest) + F.log2(rest) + 0.25).cast("int")
 
 
 def scaled(rows: np.ndarray, power: np.ndarray | int) -> np.ndarray:
