@@ -41,6 +41,10 @@ TEMPLATES = (
     ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0", "bsl-1"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl-2"),
 )
 
 #: Lowers A-Z and makes every ASCII character that is no digit or letter a space; bytes of other characters stay.
