@@ -228,6 +228,20 @@ def test_audit(spark):
     assert tuple(got) == (True, False)
 
 
+def test_change_experiment_sends_no_table_to_the_driver(spark):
+    schema = "k int, hash string, size int, version string, plugins array<string>"
+    base = spark.createDataFrame([(1, "a", 5, "3.34", ["core"], "core"), (2, "b", 5, "3.34", ["core"], "core"), (None, "c", 5, "3.34", ["core"], "core")], schema + ", plugin string")
+    now = lambda *rows: spark.createDataFrame(rows, schema)
+    worlds = {"same": base, "edited": now((1, "x", 5, "3.34", ["core"]), (2, "x", 6, "3.34", ["core"])), "host": now((1, "a", 5, "4.0", ["core"]), (2, "b", 5, "3.40", [])), "empty": now()}
+    out = audit.change_experiment(base, worlds, "k")
+    assert {(r["scenario"], r["found"]): (r["n"], r["overall_score"]) for r in out.collect()} == {
+        ("same", "unchanged"): (2, 81.6667), ("same", "input deleted"): (1, 81.6667), ("edited", "input modified"): (1, 65.0), ("edited", "input replaced"): (1, 65.0), ("edited", "input deleted"): (1, 65.0),
+        ("host", "version changed"): (1, 70.0), ("host", "plugin uninstalled"): (1, 70.0), ("host", "input deleted"): (1, 70.0), ("empty", "input deleted"): (3, 45.0),
+    }
+    plan = out._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and plan.partition("== Physical Plan ==")[2].count("SortMergeJoin") >= len(worlds)
+
+
 def test_versions_of_the_log(spark, tmp_path, monkeypatch):
     from tracewell import schemas
     from tracewell.sources import store as st

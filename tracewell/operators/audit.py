@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.functions.fixed import AUDIT_WEIGHTS
 from tracewell.operators.lookup import latest
@@ -41,9 +44,18 @@ def environment_similar(a: Column, b: Column, level: str = "major") -> Column:
 
 def audit_scores(checks: DataFrame, key: str) -> DataFrame:
     """Per key: share (0 to 100) of rows that pass each check, and their weighted sum. Checks are boolean columns named as the weights."""
-    shares = [F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) * 100, 4).alias(f"{c}_score") for c in AUDIT_WEIGHTS]
-    overall = sum((F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) * w for c, w in AUDIT_WEIGHTS.items()), F.lit(0.0))
-    return checks.groupBy(key).agg(*shares, F.round(overall, 4).alias("overall_score"))
+    share = lambda c: F.avg(_passed(c))
+    shares = [F.round(share(c) * 100, 4).alias(f"{c}_score") for c in AUDIT_WEIGHTS]
+    return checks.groupBy(key).agg(*shares, _overall(share).alias("overall_score"))
+
+
+def _passed(check: str) -> Column:
+    return F.coalesce(F.col(check).cast("double"), F.lit(0.0))
+
+
+def _overall(share: Callable[[str], Column]) -> Column:
+    """Weighted sum of the shares of rows that pass each check."""
+    return F.round(sum((share(c) * w for c, w in AUDIT_WEIGHTS.items()), F.lit(0.0)), 4)
 
 
 #: What a scenario of the change experiment is expected to be judged as.
@@ -62,18 +74,21 @@ def change_experiment(baseline: DataFrame, scenarios: dict[str, DataFrame], key:
     """(scenario, found, n, overall_score): what the audit of each changed world finds, and how it scores.
 
     baseline and every scan have key, hash, size, version (of the host) and plugins (array<string>); the baseline also names the plugin it needs.
+    Scans are as large as the baseline, so they are merged with it and never sent to the driver to be broadcast; rows are counted in one pass, and the scores
+    come from the counts.
     """
     was = baseline.select(key, *[F.col(c).alias(f"__{c}") for c in ("hash", "size", "version", "plugin")])
     out = None
     for name, scan in scenarios.items():
-        now = was.join(scan.select(key, "hash", "size", "version", "plugins", F.lit(True).alias("__there")), key, "left")
+        now = was.join(scan.select(key, "hash", "size", "version", "plugins", F.lit(True).alias("__there")).hint("merge"), key, "left")
         checks = now.select(
             F.coalesce("__there", F.lit(False)).alias("input_exists"), F.coalesce(F.col("hash") == F.col("__hash"), F.lit(False)).alias("input_unchanged"), F.coalesce(F.col("size") == F.col("__size"), F.lit(False)).alias("same_size"),
             # without the file the rest of the world is not judged by its row
             F.coalesce(F.array_contains("plugins", F.col("__plugin")), F.lit(True)).alias("algorithm_available"), F.coalesce(environment_similar(F.col("__version"), F.col("version")), F.lit(True)).alias("environment_similar"),
             F.lit(True).alias("parameters_valid"), F.lit(name).alias("scenario"),
         )
-        found = checks.withColumn("found", change_kind(checks)).groupBy("scenario", "found").agg(F.count("*").alias("n"))
-        one = found.join(audit_scores(checks, "scenario").select("scenario", "overall_score"), "scenario")
-        out = one if out is None else out.unionAll(one)
-    return out.select("scenario", "found", "n", "overall_score")
+        found = checks.withColumn("found", change_kind(checks)).groupBy("scenario", "found").agg(F.count("*").alias("n"), *[F.sum(_passed(c)).alias(f"__{c}") for c in AUDIT_WEIGHTS])
+        out = found if out is None else out.unionAll(found)
+    world = Window.partitionBy("scenario")
+    share = lambda c: F.sum(f"__{c}").over(world) / F.sum("n").over(world)
+    return out.select("scenario", "found", "n", _overall(share).alias("overall_score"))
