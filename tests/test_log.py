@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell import catalog_log
 from tracewell.operators import audit, graph, grouping, validate
 from tracewell.operators.export import prov_json
 from tracewell.operators.normalize import build_events
@@ -206,6 +207,34 @@ def test_build_events(spark):
     assert r["dedup_key"].startswith("native:buffer|") and r["dedup_key"].endswith("|2026-08-08T10:00:00.000000+00:00")
 
 
+def test_build_events_reads_each_value_once(spark, tmp_path):
+    schema = "session_id string, source string, algorithm_id string, algorithm_name string, provider string, started_at string, ended_at string, status string, execution_log string, agent struct<qgis_version:string>, parameters map<string,string>, results map<string,string>, definitions map<string,string>"
+    odd = {"A": None, "B": "{bad", "C": '{"path":" p |subset=q","driver":"","provider":"gtiff","feature_count":"-3","band_count":2,"pixel_x":"inf","pixel_y":"1"}', "D": "[1]", "E": '{"source":"u","selectedFeaturesOnly":true}'}
+    kinds = {"A": "source", "B": "sink", "C": "sink", "D": "sink", "X": "outputFile", "Y": "number"}
+    rows = [("s", "t", "n:a", None, None, "x", None, None, None, None, *more) for more in ((odd, {"B": "b.tif", "C": '{"crs":"EPSG:1"}', "X": "memory", "Y": "y", "Z": '"z"'}, kinds), (None, None, None))]
+    out = build_events(spark.createDataFrame(rows, schema))
+    full, empty = sorted(out.collect(), key=lambda r: r["parameters"] == "{}")
+    assert empty["inputs"] == empty["outputs"] == [] and json.loads(full["parameters"]) == {"E": "u|selectedFeaturesOnly=yes"}
+    facts = lambda xs: [(x["param"], x["path"], x["format"], x["crs"], x["layer_type"], x["feature_count"], x["band_count"], x["pixel_size"]) for x in xs]
+    assert facts(full["inputs"]) == [("A", None, None, None, "unknown", None, None, None)]
+    assert facts(full["outputs"]) == [
+        ("B", "b.tif", None, None, "unknown", None, None, None), ("C", "p ", "GeoTIFF", "EPSG:1", "raster", None, 2, None), ("D", "[1]", None, None, "unknown", None, None, None),
+        ("X", None, None, None, "unknown", None, None, None), ("Z", "z", None, None, "unknown", None, None, None),
+    ]
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
+    # scalars, inputs, outputs, results of declared outputs, other results: each place parses its JSON once
+    assert plan.count("parseJson") == 5
+    # a file of one split is dealt to all tasks
+    spark.sql("SELECT 1L AS p_partkey, 'b' AS p_brand, 'T' AS p_type, 3 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    query = catalog_log.build_events(spark, str(tmp_path))
+    assert "REPARTITION_BY_COL" in query._jdf.queryExecution().toString() and query.first()["output_path"] == "/out/1.gpkg"
+
+
 def test_graph_reading(spark):
     rel = spark.createDataFrame([("1", "used", "a", "b"), ("2", "used", "b", "a"), ("3", "used", "a", "a"), ("4", "used", "c", "d")], "id string, relation_type string, source_id string, target_id string")
     node = spark.createDataFrame([("a",)], "node string")

@@ -28,7 +28,9 @@ def build_events(spark: SparkSession, d: str) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     source = text('{"source":"/d/', k, '.shp|layername=a","driver":"ESRI Shapefile","feature_count":"', size, '"}')
     none = lambda t="string": F.lit(None).cast(t)
-    raw = B.load(spark, d, "part").select(
+    # a job takes far longer than reading it: rows are dealt to all tasks, however few splits their file has
+    parts = B.load(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size").repartition("p_partkey")
+    raw = parts.select(
         F.col("p_brand").alias("session_id"), F.lit("post_hook").alias("source"), text("native:", F.col("p_type")).alias("algorithm_id"), k.alias("algorithm_name"), none().alias("provider"), F.lit("2026-08-08T10:00:00+00:00").alias("started_at"),
         none().alias("ended_at"), none().alias("status"), none().alias("execution_log"), none(schemas.AGENT).alias("agent"),
         F.create_map(F.lit("OUTPUT"), F.lit('"TEMPORARY_OUTPUT"'), F.lit("INPUT"), source, F.lit("DISTANCE"), size).alias("parameters"),

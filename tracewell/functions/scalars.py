@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _c(x: Cols) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once a row: without this, inside a lambda, it is computed wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ------------------------------------------------------------------------------------------------ time
 
 
@@ -103,11 +110,14 @@ def masked(text: Cols) -> Column:
 
 def selection(value: Cols) -> Column:
     """A JSON object that names a source and says that only its selected features were used becomes a text that says so; other values stay."""
-    v = F.try_parse_json(_c(value))
-    source = F.try_variant_get(v, "$.source", "string")
-    only = F.try_variant_get(v, "$.selectedFeaturesOnly", "boolean")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object & F.coalesce(only, F.lit(False)) & source.isNotNull(), F.concat(source, F.lit(fixed.SELECTED))).otherwise(_c(value))
+
+    def chosen(v: Column) -> Column:
+        source = F.try_variant_get(v, "$.source", "string")
+        only = F.try_variant_get(v, "$.selectedFeaturesOnly", "boolean")
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        return F.when(is_object & F.coalesce(only, F.lit(False)) & source.isNotNull(), F.concat(source, F.lit(fixed.SELECTED))).otherwise(_c(value))
+
+    return bound(F.try_parse_json(_c(value)), chosen)
 
 
 def parameters_object(v: Column) -> Column:

@@ -12,27 +12,33 @@ from tracewell.functions import scalars as S
 
 def describe_layer(param: Column, value: Column) -> Column:
     """Layer struct of a parameter value in JSON: an object of layer facts, or a text that names it."""
-    v = F.try_parse_json(value)
-    get = lambda k, t="string": F.try_variant_get(v, f"$.{k}", t)
-    plain = F.coalesce(F.try_variant_get(v, "$", "string"), value)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    pick = lambda k, t="string": F.when(is_object, get(k, t))
-    whole = lambda k: S.whole_number(pick(k))
-    path = S.file_path(F.when(is_object, F.coalesce(get("source"), get("path"))).otherwise(plain))
-    driver = F.coalesce(F.nullif(pick("driver"), F.lit("")), pick("provider"), pick("format"))
-    features, bands = whole("feature_count"), whole("band_count")
-    return F.struct(
-        param.alias("param"),
-        path.alias("path"),
-        S.canonical_format(driver).alias("format"),
-        F.nullif(pick("crs"), F.lit("")).alias("crs"),
-        S.layer_kind(features, bands, pick("layer_type")).alias("layer_type"),
-        features.alias("feature_count"),
-        bands.alias("band_count"),
-        S.pixel_size(pick("pixel_x"), pick("pixel_y")).alias("pixel_size"),
-        whole("width").alias("width"),
-        whole("height").alias("height"),
-    ).cast(schemas.LAYER)
+    texts = ("crs", "layer_type", "feature_count", "band_count", "pixel_x", "pixel_y", "width", "height")
+
+    def facts(v: Column, is_object: Column) -> Column:
+        """The facts as texts, each read once."""
+        get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+        pick = lambda k: F.when(is_object, get(k))
+        plain = F.coalesce(F.try_variant_get(v, "$", "string"), value)
+        driver = F.coalesce(F.nullif(pick("driver"), F.lit("")), pick("provider"), pick("format"))
+        place = F.when(is_object, F.coalesce(get("source"), get("path"))).otherwise(plain)
+        return F.struct(place.alias("place"), driver.alias("driver"), *[pick(k).alias(k) for k in texts])
+
+    def layer(x: Column) -> Column:
+        features, bands = S.whole_number(x["feature_count"]), S.whole_number(x["band_count"])
+        return F.struct(
+            param.alias("param"),
+            S.file_path(x["place"]).alias("path"),
+            S.canonical_format(x["driver"]).alias("format"),
+            F.nullif(x["crs"], F.lit("")).alias("crs"),
+            S.layer_kind(features, bands, x["layer_type"]).alias("layer_type"),
+            features.alias("feature_count"),
+            bands.alias("band_count"),
+            S.pixel_size(x["pixel_x"], x["pixel_y"]).alias("pixel_size"),
+            S.whole_number(x["width"]).alias("width"),
+            S.whole_number(x["height"]).alias("height"),
+        ).cast(schemas.LAYER)
+
+    return S.bound(F.try_parse_json(value), lambda v: S.bound(S.bound(F.schema_of_variant(v).startswith("OBJECT"), lambda is_object: facts(v, is_object)), layer))
 
 
 def _kind(name: Column, definitions: Column) -> Column:
@@ -55,18 +61,22 @@ def merge_results(outputs: Column, results: Column, definitions: Column) -> Colu
     """
     results = F.coalesce(results, F.create_map().cast("map<string,string>"))
 
-    def merged(layer: Column) -> Column:
-        value = F.try_element_at(results, layer["param"])
-        seen = describe_layer(layer["param"], value)
+    def filled(layer: Column, seen: Column) -> Column:
         pick = {f: F.coalesce(layer[f], seen[f]) for f in fixed.FILLED} | {"param": layer["param"], "path": F.coalesce(seen["path"], layer["path"]), "layer_type": F.when(layer["layer_type"] == "unknown", seen["layer_type"]).otherwise(layer["layer_type"])}
         order = ("param", "path", "format", "crs", "layer_type", "feature_count", "band_count", "pixel_size", "width", "height")
-        return F.when(value.isNull(), layer).otherwise(F.struct(*[pick[f].alias(f) for f in order]).cast(schemas.LAYER))
+        return F.struct(*[pick[f].alias(f) for f in order]).cast(schemas.LAYER)
+
+    def merged(layer: Column) -> Column:
+        value = F.try_element_at(results, layer["param"])
+        return F.when(value.isNull(), layer).otherwise(S.bound(describe_layer(layer["param"], value), lambda seen: filled(layer, seen)))
+
+    def added(declared: Column) -> Column:
+        extra = F.filter(F.map_entries(results), lambda e: ~F.array_contains(declared, e["key"]))
+        extra = F.transform(extra, lambda e: F.struct(_kind(e["key"], definitions).alias("kind"), describe_layer(e["key"], e["value"]).alias("layer")))
+        extra = F.filter(extra, lambda e: F.coalesce(e["kind"].isin(*fixed.OUTPUT_KINDS), F.lit(False)) | (e["kind"].isNull() & e["layer"]["path"].isNotNull()))
+        return F.transform(extra, lambda e: e["layer"])
 
-    declared = F.transform(outputs, lambda x: x["param"])
-    extra = F.filter(F.map_entries(results), lambda e: ~F.array_contains(declared, e["key"]))
-    extra = F.transform(extra, lambda e: F.struct(_kind(e["key"], definitions).alias("kind"), describe_layer(e["key"], e["value"]).alias("layer")))
-    extra = F.filter(extra, lambda e: F.coalesce(e["kind"].isin(*fixed.OUTPUT_KINDS), F.lit(False)) | (e["kind"].isNull() & e["layer"]["path"].isNotNull()))
-    return F.concat(F.transform(outputs, merged), F.transform(extra, lambda e: e["layer"]))
+    return S.bound(outputs, lambda layers: F.concat(F.transform(layers, merged), S.bound(F.transform(layers, lambda x: x["param"]), added)))
 
 
 def build_events(raw: DataFrame) -> DataFrame:
