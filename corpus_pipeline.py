@@ -8,6 +8,7 @@ their names, and ignored by the last; an empty table gives an empty result; with
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,22 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import free_name, stored, table
 from tracewell.llm.queries import byte_vocabulary
-from tracewell.plans.tables import drop_stored, stored_so_far
+from tracewell.plans.tables import drop_stored, in_few_files, stored_so_far
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _stage(stage: Stage) -> Stage:
+    """The stage with its result in few files, whoever writes it."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return in_few_files(stage(spark, docs, sf_dir))
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules, learned from the labels, don't reject."""
     from tracewell.llm.quality_rules import fit, keep
@@ -27,6 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     from tracewell.llm.near_dedup import keep_one
@@ -34,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs, shingle=5)
 
 
+@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur elsewhere too are cut out; documents that were nothing else go."""
     from tracewell.llm.suffix_dedup import strip
@@ -47,6 +61,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return cut.withColumns(sizes).select(*docs.columns)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     from tracewell.llm.mixing import taken_rows
@@ -54,6 +69,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken_rows(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents with their places in sequences of 2048 tokens."""
     from tracewell.llm.packing import pack

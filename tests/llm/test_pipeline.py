@@ -186,6 +186,20 @@ def test_run(spark, folder):
     assert pieces(P.run(spark, folder)) == plain_pieces(plain_mix(plain_suffix(plain_near(rows))))
 
 
+def test_results_in_few_files(spark, folder, tmp_path):
+    """Whoever writes a stage's result starts processes for each of its files: there are few, however many partitions a shuffle has."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        dict(P.STAGES)["suffix_dedup"](spark, table(spark, folder, "documents"), folder).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(spark.read.parquet(str(tmp_path / "out")).inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

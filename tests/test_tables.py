@@ -28,3 +28,15 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10, 20: 20, 25: 20, 30: 20, 40: 20, 50: 20} | {100 + i: 100 for i in range(41)}
     assert {r["node"]: r["component"] for r in found.collect()} == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_tables_of_numbered_rows_get_few_files(spark, tmp_path, monkeypatch):
+    """The numbers of several files count as what they are, not as more than any table; next to nothing becomes one file."""
+    from tracewell.llm.common import numbered
+
+    monkeypatch.setattr(tables, "_written", [])
+    spark.range(3000).repartition(3).write.parquet(str(tmp_path / "many"))
+    rows = numbered(spark.read.parquet(str(tmp_path / "many")))
+    assert rows.select("rid").distinct().count() == 3000
+    wide = tables.stored(rows.repartition(50, "rid"), "wide")
+    assert len(wide.inputFiles()) <= 2 and wide.count() == 3000

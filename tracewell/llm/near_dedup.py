@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import lower_words, mix64, numbered, stored
+from tracewell.llm.common import BYTES_A_LONG_FILE, lower_words, mix64, numbered, stored
 from tracewell.plans.components import connected_components
 
 COORDINATES = 96
@@ -357,7 +357,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, nam
                 keep.append(100 * both >= percent * (len(own) + len(held) - both) and bool(both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = stored(_texts_of(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))), texts), f"{name}-texts")
+    some = stored(_texts_of(pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))), texts), f"{name}-texts", BYTES_A_LONG_FILE)
     shares = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR).cast("int").alias("shares")), f"{name}-shares")
     many = shares.where("shares > 1")
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
@@ -425,7 +425,7 @@ def _large_links(large: DataFrame, sketches: DataFrame, labels: DataFrame, texts
 def _link(rows_: DataFrame, shingle: int, percent: int) -> DataFrame:
     """rows_: (rid, doc_id, text), the same whenever it is read."""
     similarity = percent / 100
-    rows = stored(rows_.select("rid", "doc_id", "text").mapInArrow(lambda batches: _sets(batches, shingle), _ROWS), "near-rows")
+    rows = stored(rows_.select("rid", "doc_id", "text").mapInArrow(lambda batches: _sets(batches, shingle), _ROWS), "near-rows", BYTES_A_LONG_FILE)
     full = rows.where(F.col("n") > 0)
     first = full.groupBy("key").agg(F.min("rid").alias("s"), F.min("doc_id").alias("id"), F.min_by(F.struct("n", "tokens", "sketch"), "rid").alias("t"))
     sets = stored(first.select("key", "s", "id", "t.n", "t.tokens", "t.sketch"), "near-sets")

@@ -45,22 +45,32 @@ def drop_stored(spark: SparkSession, since: int = 0, last: bool = True) -> int:
 
 #: Bytes of what a step reads for each file that it writes. With fewer than twice as many files as the session has cores, cores would idle.
 BYTES_A_FILE = 1 << 23
+#: The same for steps that pass texts through row by row, whose tasks hold no more however much they read.
+BYTES_A_LONG_FILE = 1 << 25
+#: Under this a further file costs more than a further core saves: on a local path it starts three processes.
+BYTES_A_SHORT_FILE = 1 << 16
 
 
-def _files(df: DataFrame) -> int:
+def _files(df: DataFrame, a_file: int = BYTES_A_FILE) -> int:
     """Files that df is written to at most: small tables in hundreds of them cost more to write, commit and list than to compute."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(read // BYTES_A_FILE, (1 << 31) - 1))
+    enough = min(2 * df.sparkSession.sparkContext.defaultParallelism, 1 + read // BYTES_A_SHORT_FILE)
+    return max(enough, min(read // a_file, (1 << 31) - 1))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def in_few_files(df: DataFrame, a_file: int = BYTES_A_FILE) -> DataFrame:
+    """df, in no more partitions than it needs files. Tasks take several of its partitions, one after the other, if those are many for the bytes that it comes from."""
+    return df.coalesce(_files(df, a_file))
+
+
+def stored(df: DataFrame, name: str, a_file: int = BYTES_A_FILE) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    Tasks that write take several of df's partitions, one after the other, if those are many for the bytes that df comes from.
+    It is written in few files: see in_few_files().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.coalesce(_files(df)).write.option("compression", "zstd").parquet(path)
+    in_few_files(df, a_file).write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
